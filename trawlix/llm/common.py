@@ -82,13 +82,13 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], par
     names = list(sums)
     with_values = df.withColumns({f"_v_{k}": c for k, c in sums.items()})
     keyed = with_values.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    ranged = cut(keyed.repartitionByRange(n, "_order").withColumn("_range", F.spark_partition_id()))
+    ranged = cut(keyed.repartitionByRange(n, "_order").withColumns({"_range": F.spark_partition_id(), "_tie": F.monotonically_increasing_id()}))
     totals = ranged.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names])
-    inside = Window.partitionBy("_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_range").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.withColumns({k: F.sum(f"_v_{k}").over(inside) for k in names})
     # One row per range: its count is the number of partitions, a fixed setting.
     joined = summed.join(F.broadcast(offsets), "_range")
     out = joined.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in names})
-    return out.drop("_order", "_range", *[f"_v_{k}" for k in names], *[f"_b_{k}" for k in names])
+    return out.drop("_order", "_range", "_tie", *[f"_v_{k}" for k in names], *[f"_b_{k}" for k in names])

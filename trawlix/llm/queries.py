@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm
+from . import decontaminate, mixing, ppm, simhash, url_filter
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,53 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
 
 
-QUERIES: dict[str, Query] = {"op1_ppm_score": op1_ppm_score}
-ORACLE_SQL: dict[str, str] = {}
+#: The rules of the url query (host, path, action).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rhost, rpath, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'allow')),
+named AS (SELECT *, row_number() OVER () AS r FROM parts),
+best AS (
+  SELECT r, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
+  FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM named LEFT JOIN best USING (r)
+"""
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
+def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hits(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_ppm_score": op1_ppm_score,
+    "op2_url_filter": op2_url_filter,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_fair_mix": op5_fair_mix,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
