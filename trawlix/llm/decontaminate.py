@@ -216,13 +216,13 @@ def _matches(texts: list[bytes], bench: dict) -> tuple[np.ndarray, list[list[int
     return lengths, spans, [sorted(set(x)) for x in items]
 
 
-def _finder(shared):
+def _finder(shared, keep: list[str]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for part, texts in chunks(batches):
             lengths, spans, items = _matches(texts, bench)
-            columns = [part.column(0), pa.array(lengths), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, ["_key", "n_words", "spans", "items"])
+            columns = [pa.array(lengths), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.record_batch([*[part.column(part.schema.get_field_index(n)) for n in keep], *columns], [*keep, "n_words", "spans", "items"])
 
     return find
 
@@ -240,33 +240,37 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step)
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans (words first..last-1, merged) and items (ids as text, sorted).
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """Per document: the columns ``keep`` (doc_id), n_words, spans (words first..last-1, merged) and items (ids as text, sorted).
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored.
     """
+    keep = keep or ["doc_id"]
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(F.col("text")) + 24)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    rows = docs.select("doc_id", "text") if blocks == 1 else docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    id_type = docs.schema["doc_id"].dataType.simpleString() if blocks == 1 else "long"
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    if blocks > 1:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    carried = keep if blocks == 1 else ["_row"]
+    types = ", ".join(f"`{c}` {'binary' if c == 'text' else rows.schema[c].dataType.simpleString()}" for c in carried)
     parts = []
     for block in range(blocks):
         # An item's text stays whole, so a block may exceed the bound by one item.
         mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r.item, bytes(r.text)) for r in mine.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).distinct().collect()]
         shared = spark.sparkContext.broadcast(phrases_of(items, window))
-        keyed = rows.select(F.col("doc_id" if blocks == 1 else "_row").alias("_key"), "text")
-        parts.append(binary(keyed, "_key").mapInArrow(_finder(shared), f"_key {id_type}, n_words long, spans array<bigint>, items array<string>"))
+        parts.append(binary(rows, *[c for c in carried if c != "text"]).mapInArrow(_finder(shared, carried), f"{types}, n_words long, spans array<bigint>, items array<string>"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans").cast("int") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("first"), F.get("spans", i + 1).alias("last")))
     pairs = F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
     if blocks == 1:
-        return parts[0].select(F.col("_key").alias("doc_id"), "n_words", pairs.alias("spans"), "items")
+        found = parts[0].withColumn("spans", pairs)
+        return found.withColumn("text", F.col("text").cast("string")) if "text" in keep else found
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    merged = every.withColumn("spans", pairs).groupBy("_key").agg(F.first("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("doc_id", "_row").join(merged, F.col("_row") == F.col("_key")).select("doc_id", "n_words", "spans", "items")
+    merged = every.withColumn("spans", pairs).groupBy("_row").agg(F.first("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select(*keep, "_row").join(merged, "_row").select(*keep, "n_words", "spans", "items")
 
 
 def hits(spans: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ppm, simhash, url_filter
+from . import decontaminate, html_tree, language, mixing, multi_index, ppm, quality, simhash, tool_calls, url_filter
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +44,47 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM name
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 5)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (part == 0).alias("held_out"))
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), part != 0, part == 4, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    return language.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+#: The tool of the chat query: each user turn asks it, the next assistant turn is its result.
+CHAT_SCHEMAS = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}}}
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    name = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    asked = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
+    calls = turns.where("role = 'user'").select("conv_id", name(0).alias("call_id"), name(2).alias("parent"), "turn", F.lit("reply").alias("name"), asked.alias("arguments"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return tool_calls.link(calls, results, CHAT_SCHEMAS)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hits(F.col("spans"))
@@ -63,7 +97,12 @@ QUERIES: dict[str, Query] = {
     "op1_ppm_score": op1_ppm_score,
     "op2_url_filter": op2_url_filter,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_nearest": op4_nearest,
     "op5_fair_mix": op5_fair_mix,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_main_text": op8_main_text,
+    "op9_tool_calls": op9_tool_calls,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}

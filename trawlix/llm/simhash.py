@@ -80,9 +80,10 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) per row of ``docs``."""
+    """doc_id, text_hash and fp (the fingerprint's bits as a signed long) per row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return binary(docs, "doc_id").mapInArrow(_fingerprint, f"doc_id {kind}, fp long")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return binary(hashed, "doc_id", "text_hash").mapInArrow(_fingerprint, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _reach(fps: np.ndarray) -> list[np.ndarray]:
@@ -209,12 +210,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) and fp."""
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), text_hash and root.
+
+    root names the component even where all its ids are null.
+    """
     rows = cut(with_fingerprint(docs))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(components(links(distinct.select("fp"))))
     rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    by_fp = rooted.join(smallest, "root").select("fp", "root", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "fp")
+    return rows.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component stays, with all its columns: the one of the least doc_id."""
+    found = near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
