@@ -31,6 +31,7 @@ from .common import LOWER, binary, chunks
 BUCKETS = 2048
 #: Labelled texts the classifiers are fitted on, over all languages.
 TRAIN_ROWS = 4000
+SALTS = 50
 RIDGE = 0.02
 SHARPNESS = 4.0
 MARGIN = 0.05
@@ -153,10 +154,12 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict:
     n = labelled.select("lang").distinct().count()
     if not n:
         return {"languages": []}
-    chosen = Window.partitionBy("lang").orderBy("_pick", "doc_id")
+    # Each of SALTS parts of a language gives its share, so that no task ranks a whole language.
+    chosen = Window.partitionBy("lang", F.pmod("_pick", F.lit(SALTS))).orderBy("_pick", "doc_id")
+    share = -(-max(20, rows // n) // SALTS)
     # The choice is made without the texts; they are read again for the chosen rows only.
     keyed = labelled.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.length("text"), F.lit(7)).alias("_pick"))
-    picks = keyed.withColumn("_n", F.row_number().over(chosen)).where(F.col("_n") <= max(20, rows // n)).select("doc_id", "lang", "_pick").distinct()
+    picks = keyed.withColumn("_n", F.row_number().over(chosen)).where(F.col("_n") <= share).select("doc_id", "lang", "_pick").distinct()
     full = labelled.withColumn("_pick", F.xxhash64(F.col("doc_id"), F.length("text"), F.lit(7)))
     # At most TRAIN_ROWS rows of ids.
     texts = full.join(F.broadcast(picks), ["doc_id", "lang", "_pick"], "left_semi")
