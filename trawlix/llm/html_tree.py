@@ -55,8 +55,8 @@ BAD_WORDS = {
 }
 FEATURES = [*dict.fromkeys(KINDS.values()), "good_word", "bad_word", "leaf", "leaf_words", "leaf_links", "leaf_short", "leaf_stop", "leaf_in_p", "leaf_in_heading", "leaf_in_item", "leaf_other", "bias"]
 COLUMN = {name: i for i, name in enumerate(FEATURES)}
-#: Edges by the child: an element, an element with a bad word or of a boilerplate kind, a text block.
-EDGES = 3
+#: Edges by the child: an element, an element with a bad word or of a boilerplate kind, a text block, a header in an article.
+EDGES = 4
 APART = {"nav", "aside", "footer", "form", "header", "dialog"}
 
 
@@ -169,7 +169,8 @@ class Page:
             parent = stack[-1][1]
             if self.depth[parent] >= MAX_DEPTH:
                 parent = self.parent[parent]
-            node = self._node(parent, features, 1 if bad else 0)
+            edge = 3 if kind == "header" and any(x[2] in ("article", "main") for x in stack) else 1 if bad else 0
+            node = self._node(parent, features, edge)
             stack.append((name, node, kind))
         flush()
 
@@ -264,7 +265,7 @@ def labelled_pages(n: int, seed: int) -> list[str]:
 
     def content() -> str:
         blocks = [rng.choice([f"<h1>{MARK}{words(2, 8)}</h1>", f"<h2>{MARK}{words(2, 8)}</h2>", ""])]
-        for _ in range(rng.choice([0, 1, 2, 4, 8, 12])):
+        for _ in range(rng.choice([1, 1, 2, 4, 8, 12])):
             blocks.append(rng.choices([
                 f"<p>{MARK}{sentence()} {sentence()}</p>", f"<p>{MARK}{sentence(1, 4)}</p>", f"<p><b>{MARK}{sentence(3, 12)}<br>", f"<h3>{MARK}{words(1, 5)}</h3>",
                 "<ul>" + "".join(f"<li>{MARK}{sentence(2, 12)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>",
@@ -278,15 +279,21 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     for _ in range(n):
         inner = content()
         wrap = rng.choice(["article", "article", "main", "div", "div", "section", "plain", "both"])
+        if wrap in ("article", "main", "both") and rng.random() < 0.25:
+            inner = f"<header><h1>{MARK}{words(2, 7)}</h1></header>" + inner
+        if wrap in ("article", "both") and rng.random() < 0.2:
+            inner += f"<footer>{rng.choice([sentence(2, 8), links(1, 3)])}</footer>"
         if wrap in ("article", "main"):
             inner = f"<{wrap}>{inner}</{wrap}>"
         elif wrap in ("div", "section"):
             inner = named(wrap, ["content", "post-body", "entry-content", "main-text", "story", "x1"], inner)
         elif wrap == "both":
             inner = f'<main><div class="page"><article>{inner}</article>{boiler() if rng.random() < 0.5 else ""}</div></main>'
-        before = "".join(boiler() for _ in range(rng.randint(0, 3)))
-        after = "".join(boiler() for _ in range(rng.randint(0, 3)))
-        body = before + inner + after
+        wraps = lambda x, most: (lambda n: "<div>" * n + x + "</div>" * n)(rng.choice([0, 0, 1, 2, rng.randint(0, most)]))
+        alone = rng.random() < 0.25
+        before = "".join(wraps(boiler(), 6) for _ in range(0 if alone else rng.randint(0, 3)))
+        after = "".join(wraps(boiler(), 6) for _ in range(0 if alone else rng.randint(0, 3)))
+        body = before + ("" if rng.random() < 0.04 else wraps(inner, 30)) + after
         if rng.random() < 0.3:
             body = f'<div class="{rng.choice(["page", "wrap", "container", "site"])}">{body}</div>'
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{body}</body></html>")
@@ -306,7 +313,7 @@ def labels_of(page: Page) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def train(n_pages: int = 400, rounds: int = 150, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def train(n_pages: int = 800, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Node weights and edge potentials by gradient ascent on the likelihood of labelled pages."""
     pages = [Page(h) for h in labelled_pages(n_pages, seed)]
     y = np.concatenate([labels_of(p) for p in pages])

@@ -101,12 +101,16 @@ def fit(x: np.ndarray, labels: list[str]) -> dict:
     share = 1.0 / np.bincount(which)[which]
     share /= share.mean()
     mean = np.average(x, axis=0, weights=share)
-    centred = (x - mean).astype(np.float64)
     y = code[which]
     bias = np.average(y, axis=0, weights=share)
-    gram = centred.T @ (centred * share[:, None]) + RIDGE * len(x) / x.shape[1] * np.eye(x.shape[1])
-    weights = np.linalg.solve(gram, centred.T @ ((y - bias) * share[:, None]))
-    right = ((centred @ weights + bias) * y > 0).astype(float)
+    gram = RIDGE * len(x) / x.shape[1] * np.eye(x.shape[1])
+    moment = np.zeros((x.shape[1], y.shape[1]))
+    for at in range(0, len(x), 256):
+        block = (x[at : at + 256] - mean) * np.sqrt(share[at : at + 256, None])
+        gram += block.T @ block
+        moment += block.T @ ((y[at : at + 256] - bias) * np.sqrt(share[at : at + 256, None]))
+    weights = np.linalg.solve(gram, moment)
+    right = ((x @ weights + (bias - mean @ weights)) * y > 0).astype(float)
     trust = np.stack([(right[which == i].sum(axis=0) + 0.5) / ((which == i).sum() + 1) for i in range(len(languages))])
     trust /= trust.sum(axis=1, keepdims=True)
     return {"languages": languages, "code": code, "weights": weights, "bias": bias - mean @ weights, "trust": trust}
@@ -164,9 +168,10 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict:
     # At most TRAIN_ROWS rows of ids.
     texts = full.join(F.broadcast(picks), ["doc_id", "lang", "_pick"], "left_semi")
     found = binary(texts, "lang").mapInArrow(_features, "lang string, x array<float>").toArrow()
+    names = found["lang"].to_pylist()
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, BUCKETS)
-    order = np.lexsort((x[:, :8].sum(axis=1), np.array(found["lang"].to_pylist())))
-    return fit(x[order], [found["lang"].to_pylist()[i] for i in order])
+    order = np.lexsort((x[:, :8].sum(axis=1), np.array(names)))
+    return fit(x[order], [names[i] for i in order])
 
 
 def identify(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:

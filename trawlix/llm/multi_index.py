@@ -40,6 +40,8 @@ from .common import cut
 CENTROIDS = 64
 SAMPLE = 8192
 PROBE = 0.5
+#: Vectors compared at least, for each one asked for.
+LEAST = 8
 QUERY_BLOCK = 1024
 ROW_BLOCK = 1024
 K = 10
@@ -193,7 +195,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, centroids: int = C
     counts = np.zeros(len(fitted[0]) * len(fitted[1]), np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r.cell] = r["count"]
-    plan = spark.sparkContext.broadcast({"centroids": fitted, "counts": counts, "quota": int(np.ceil(probe * counts.sum()))})
+    plan = spark.sparkContext.broadcast({"centroids": fitted, "counts": counts, "quota": max(int(np.ceil(probe * counts.sum())), LEAST * (k + 1))})
     asked = cut(ids.where(is_query).dropDuplicates(["vec_id", "embedding"]).mapInArrow(_walks(plan), "vec_id long, embedding array<double>, walk binary"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = []
