@@ -85,6 +85,31 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(calls, results, CHAT_SCHEMAS)
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-1') AS h
+  FROM documents),
+src AS (SELECT s, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS w FROM d GROUP BY s),
+capped AS (SELECT *, source_size * 3 AS cap FROM src),
+poured AS (
+  SELECT *, (cap / w)::DOUBLE AS ratio,
+    ((SELECT sum(source_size) FROM src) - sum(cap) OVER o + cap)::DOUBLE / ((SELECT sum(w) FROM src) - sum(w) OVER o + w)::DOUBLE AS lvl
+  FROM capped WINDOW o AS (ORDER BY cap / w, s ROWS UNBOUNDED PRECEDING)),
+fair AS (SELECT lvl FROM poured WHERE lvl <= ratio ORDER BY ratio, s LIMIT 1),
+targets AS (SELECT s, source_size, least(cap::DOUBLE, coalesce(w * (SELECT lvl FROM fair), cap::DOUBLE)) AS target FROM poured),
+queued AS (SELECT row_number() OVER () AS r, d.*, sum(size) OVER (PARTITION BY s ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS pos FROM d),
+entries AS (
+  SELECT r, s, size, pos, e, (source_size * e + pos)::DOUBLE / target AS finish
+  FROM queued JOIN targets USING (s), (VALUES (0), (1), (2)) AS rounds(e) WHERE size > 0),
+runs AS (SELECT *, sum(size) OVER (ORDER BY finish, s, e, pos ROWS UNBOUNDED PRECEDING) AS run FROM entries),
+taken AS (SELECT r, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - (run - size))))::BIGINT AS taken FROM runs GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queued JOIN targets USING (s) LEFT JOIN taken USING (r)
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hits(F.col("spans"))
@@ -93,6 +118,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT r, doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered),
+items AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)),
+windows AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS p
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)),
+found AS (SELECT r, i, windows.n, item_id FROM windows JOIN phrases ON windows.p = phrases.p AND windows.n = phrases.n),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM found) GROUP BY r),
+which AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN which USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_ppm_score": op1_ppm_score,
     "op2_url_filter": op2_url_filter,
@@ -105,4 +151,4 @@ QUERIES: dict[str, Query] = {
     "op9_tool_calls": op9_tool_calls,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_fair_mix": OP5_SQL, "op10_decontaminate": OP10_SQL}
