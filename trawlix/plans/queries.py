@@ -1,6 +1,463 @@
-"""The queries over the reference tables, by name, and their DuckDB SQL."""
+"""Queries over the test tables, by name, and the DuckDB SQL that gives the same rows.
+
+The tables hold no searches, so ranked lists, sessions and graphs are derived from
+documents, pages, conversations and the star schema; each derivation is the same in
+both languages.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawlix.functions import ids, simhash64, urls
+from trawlix.operators import dedupe, extract, graph, ranking, render, session
+from trawlix.operators.ordering import with_positions
+from trawlix.sources import literals
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Ranked lists: every document by length (list 0), by id (list 1) and by language and length (list 2).
+
+_LISTS_SQL = """
+lists AS (
+  SELECT 0 AS list_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos, 'doc' || doc_id AS id, doc_id, lang, source FROM documents
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id) - 1, 'doc' || doc_id, doc_id, lang, source FROM documents
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY lang, n_chars DESC, doc_id DESC) - 1, 'doc' || doc_id, doc_id, lang, source FROM documents)"""
+_FUSED_SQL = f"""WITH {_LISTS_SQL},
+fused AS (SELECT id, sum(1.0::DOUBLE / (60.0::DOUBLE + pos + 1)) AS score, min(list_id * 1000000000000 + pos) AS f, count(*) AS n_entries FROM lists GROUP BY id)"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    orders = [[F.col("n_chars") * -1, F.col("doc_id")], [F.col("doc_id")], [F.col("lang"), F.col("n_chars") * -1, F.col("doc_id") * -1]]
+    parts = [with_positions(docs, order).select(F.lit(i).alias("list_id"), "pos", F.concat(F.lit("doc"), F.col("doc_id")).alias("id"), "doc_id", "lang", "source") for i, order in enumerate(orders)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(_FUSED_SQL + " SELECT id, round(score, 12) AS score, (f // 1000000000000)::INT AS first_list, (f % 1000000000000)::BIGINT AS first_pos, n_entries::BIGINT AS n_entries FROM fused")
+def rrf_fuse_documents(spark, sf_dir):
+    return ranking.fuse(_lists(spark, sf_dir)).withColumn("score", F.round("score", 12))
+
+
+@query(_FUSED_SQL + " SELECT fused.id, doc_id, lang, source, round(score, 12) AS score FROM fused JOIN documents ON 'doc' || doc_id = fused.id ORDER BY fused.score DESC, f LIMIT 10")
+def rrf_top_hits(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    shown = ranking.pick_hits(ranking.fuse(lists), lists)
+    return shown.orderBy(*ranking.fused_order()).limit(10).select("id", "doc_id", "lang", "source", F.round("score", 12).alias("score"))
+
+
+@query(f"""WITH {_LISTS_SQL}, short AS (SELECT * FROM lists WHERE pos < 50)
+SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + pos + 1)), 12) AS score, arg_max(list_id, list_id * 1000000000000 + pos)::INT AS last_list FROM short GROUP BY id""")
+def rrf_limited_lists_last_wins(spark, sf_dir):
+    short = ranking.limit_lists(_lists(spark, sf_dir), 50)
+    hits = short.withColumn("last_list", F.col("list_id"))
+    return ranking.pick_hits(ranking.fuse(short), hits, last=True).select("id", F.round("score", 12).alias("score"), "last_list")
+
+
+@query("""WITH e AS (SELECT event_type AS list_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) - 1 AS pos, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'u' || user_id END AS id FROM events)
+SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + pos + 1)), 10) AS score, count(*)::BIGINT AS n_entries FROM e WHERE id <> '' GROUP BY id""")
+def rrf_event_users(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("u"), "user_id")).alias("id"))
+    lists = ranking.list_positions(events, "event_type", [F.col("value").desc_nulls_last(), F.col("event_id")])
+    return ranking.fuse(lists).select("id", F.round("score", 10).alias("score"), "n_entries")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 20 OFFSET 40")
+def score_order_page(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "value")
+    return ranking.page(events, ranking.by_score(F.col("value"), F.col("event_id")), 3, 20)
+
+
+# Hits, engines, categories: made of events and pages.
+
+@query("""SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), 'unknown') AS engine, coalesce(nullif(CASE WHEN event_id % 4 = 0 THEN '' ELSE 'content ' || event_id END, ''), nullif(props, ''), '') AS content, 'general' AS category, '' AS url, event_type AS title FROM events""")
+def hit_defaults(spark, sf_dir):
+    raw = _table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.col("event_type")).alias("engine"), F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("content "), "event_id")).alias("content"),
+        F.col("props").alias("snippet"), F.lit("").alias("category"), F.lit(None).cast("string").alias("url"), F.col("event_type").alias("title"),
+    )
+    return ranking.clean_hits(raw).select("event_id", "engine", "content", "category", "url", "title")
+
+
+@query("SELECT s_name AS name FROM supplier WHERE s_acctbal > 0")
+def enabled_engines(spark, sf_dir):
+    return ranking.enabled_engines(_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("enabled")))
+
+
+@query("SELECT w AS name FROM (VALUES ('Supplier#1'), ('nope'), ((SELECT min(s_name) FROM supplier WHERE s_acctbal > 0)), ((SELECT min(s_name) FROM supplier WHERE s_acctbal <= 0))) AS asked(w) WHERE w IS NOT NULL AND w NOT IN (SELECT s_name FROM supplier WHERE s_acctbal > 0)")
+def unknown_engines(spark, sf_dir):
+    engines = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("enabled"))
+    good, bad = (engines.where(c).agg(F.min("name")).first()[0] for c in ("enabled", "not enabled"))
+    return ranking.unknown_engines([x for x in ("Supplier#1", "nope", good, bad) if x], engines)
+
+
+@query("SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS name FROM part WHERE p_size % 7 <> 0")
+def category_names(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    raw = part.select(F.when(F.col("p_size") % 7 == 0, F.lit("")).when(F.col("p_size") % 2 == 0, F.to_json(F.struct(F.col("p_type").alias("name")))).otherwise(F.col("p_brand")).alias("category"))
+    return ranking.category_names(raw).distinct()
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN (SELECT min(event_type) FROM events)")
+def engine_filter(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    (kind,) = events.agg(F.min("event_type")).first()
+    return ranking.matching(events.select("event_id", "event_type", F.col("event_type").alias("engine")), engines=[kind]).select("event_id", "event_type")
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND ts <= (SELECT max(ts) FROM events)")
+def time_range_week(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    (now,) = events.agg(F.max(F.col("ts").cast("string"))).first()
+    return ranking.within(events, "ts", "week", F.lit(now).cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT event_type AS value, min(event_id)::BIGINT AS first FROM events GROUP BY event_type")
+def suggestions_in_order(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), F.col("event_id").alias("pos"))
+    return ranking.ordered_distinct(events).select("value", F.col("first.pos").alias("first"))
+
+
+@query("SELECT c_custkey, unnest(list_filter(list_transform(string_split(c_name || ' , ,' || c_mktsegment || ',', ','), lambda x: trim(x)), lambda x: x <> '')) AS part FROM customer")
+def inline_literals(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.explode(literals.split_literals(F.concat("c_name", F.lit(" , ,"), "c_mktsegment", F.lit(",")))).alias("part"))
+
+
+# URLs.
+
+_NORM_SQL = r"""
+  CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN
+    regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) ||
+    CASE WHEN regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/$', '') END ||
+    CASE WHEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&')), '&') END
+  ELSE url END"""
+
+
+@query(f"SELECT page_id, url, {_NORM_SQL} AS id FROM pages")
+def normalize_urls(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", "url", urls.normalize_url(F.col("url")).alias("id"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain FROM pages")
+def extract_domains(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.extract_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT min(page_id) AS pos, arg_min(url, page_id) AS url FROM (SELECT page_id, url, {_NORM_SQL} AS id FROM pages) GROUP BY id")
+def dedupe_urls(spark, sf_dir):
+    items = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), "url")
+    return dedupe.dedupe_by_url(items)
+
+
+_SLUG = "substring(regexp_replace(lower({0}), '[^a-z0-9_]+', '_', 'g'), 1, 60)"
+
+
+@query(f"SELECT page_id, 'r:' || {_SLUG.format('url')} AS result_id, 'd:' || {_SLUG.format(chr(39).join(['regexp_extract(url, ', '^https?://([^/?#]*)', ', 1)']))} AS domain_id FROM pages")
+def node_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", ids.node_id("result", F.col("url")).alias("result_id"), ids.node_id("domain", urls.extract_domain(F.col("url"))).alias("domain_id"))
+
+
+# SimHash.
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B]+'), lambda x: length(x) > 1)"
+_HASHED_SQL = f"""
+tok AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents),
+words AS MATERIALIZED (SELECT w, list_reduce(list_transform(regexp_extract_all(w, '(?s).'), lambda c: ord(c)::UHUGEINT), lambda h, c: (h * 31 + c) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM (SELECT DISTINCT w FROM tok)),
+votes AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM tok JOIN words USING (w), (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY doc_id, i),
+sim AS MATERIALIZED (
+  SELECT doc_id, coalesce(bits, 0::UBIGINT) AS h FROM documents
+  LEFT JOIN (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << i ELSE 0::UBIGINT END) AS bits FROM votes GROUP BY doc_id) USING (doc_id))"""
+_SIGNED = "CASE WHEN {0} >= 9223372036854775808::UBIGINT THEN ({0}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {0}::BIGINT END"
+
+
+@query(f"SELECT doc_id, len({_TOKENS})::INT AS n_tokens, {_TOKENS}[1] AS first_token FROM documents")
+def tokenize(spark, sf_dir):
+    tokens = simhash64.tokens(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.get(tokens, F.lit(0)).alias("first_token"))
+
+
+@query(f"WITH {_HASHED_SQL} SELECT w AS token, {_SIGNED.format('h')} AS hash FROM words")
+def string_hashes(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    tokens = docs.select(F.explode(simhash64.tokens(F.col("text"))).alias("token")).distinct()
+    return tokens.select("token", F.get(simhash64.string_hashes("token"), F.lit(0)).alias("hash"))
+
+
+@query(f"WITH {_HASHED_SQL} SELECT doc_id, {_SIGNED.format('h')} AS hash FROM sim")
+def simhash_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", simhash64.simhash("text").alias("hash"))
+
+
+@query(f"WITH {_HASHED_SQL} SELECT sim.doc_id, 1 - bit_count(xor(sim.h, z.h)) / 64.0::DOUBLE AS similarity, bit_count(xor(sim.h, z.h)) <= 9 AS duplicate FROM sim, (SELECT h FROM sim WHERE doc_id = 0) z")
+def similarity_to_first(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    first = simhash64.simhash_text(docs.where("doc_id = 0").first().text)
+    hashed = docs.select("doc_id", simhash64.simhash("text").alias("h"))
+    return hashed.select("doc_id", simhash64.similarity(F.col("h"), F.lit(first)).alias("similarity"), simhash64.is_duplicate(F.col("h"), F.lit(first)).alias("duplicate"))
+
+
+@query(f"""WITH RECURSIVE {_HASHED_SQL},
+firsts AS MATERIALIZED (SELECT h, min(doc_id) AS pos FROM sim GROUP BY h),
+numbered AS MATERIALIZED (SELECT h, pos, row_number() OVER (ORDER BY pos) AS n FROM firsts),
+walk AS (
+  SELECT 0::BIGINT AS n, []::UBIGINT[] AS kept, []::BIGINT[] AS ids
+  UNION ALL
+  SELECT numbered.n, CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k, numbered.h)) <= 9)) = 0 THEN list_append(kept, numbered.h) ELSE kept END,
+    CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k, numbered.h)) <= 9)) = 0 THEN list_append(ids, numbered.pos) ELSE ids END
+  FROM walk JOIN numbered ON numbered.n = walk.n + 1)
+SELECT unnest(ids) AS pos FROM (SELECT ids FROM walk ORDER BY n DESC LIMIT 1)""")
+def dedupe_simhash(spark, sf_dir):
+    items = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.col("text").alias("content"))
+    return dedupe.dedupe_by_simhash(items).select("pos")
+
+
+@query()
+def dedupe_pages(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), "url", F.lit("").alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("content"))
+    return dedupe.dedupe(pages).select("pos", "url")
+
+
+# The graph: each two-letter language path of the pages is a query, its pages are the results.
+
+_RESULTS_SQL = """results AS (
+  SELECT lang AS query, dense_rank() OVER (ORDER BY lang) AS query_pos, row_number() OVER (PARTITION BY lang ORDER BY page_id) - 1 AS pos, url, 'page ' || page_id AS title
+  FROM (SELECT *, regexp_extract(url, '^https?://[^/]*/([a-z]+)', 1) AS lang FROM pages))"""
+_D = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+_GRAPH_SQL = f"""{_RESULTS_SQL},
+keyed AS (SELECT *, 'q:' || {_SLUG.format('query')} AS q, 'r:' || {_SLUG.format('url')} AS r, 'd:' || {_SLUG.format(_D)} AS d, {_D} AS domain FROM results),
+all_nodes AS (
+  SELECT q AS key, 'query' AS type, query AS label, NULL::BIGINT AS rank, query_pos, pos, 0 AS step FROM keyed
+  UNION ALL SELECT r, 'result', title, pos + 1, query_pos, pos, 1 FROM keyed
+  UNION ALL SELECT d, 'domain', domain, NULL, query_pos, pos, 2 FROM keyed),
+nodes AS (SELECT key, type, label, rank FROM all_nodes QUALIFY row_number() OVER (PARTITION BY key ORDER BY query_pos, pos, step) = 1),
+all_edges AS (
+  SELECT q AS src, r AS dst, 'yields' AS relation, 1.0::DOUBLE / (pos + 1) AS weight, query_pos, pos FROM keyed
+  UNION ALL SELECT r, d, 'belongs_to', 1.0, query_pos, pos FROM keyed),
+edges AS (SELECT src, dst, relation, weight FROM all_edges QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY query_pos, pos) = 1)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://[^/]*/([a-z]+)", 1).alias("query"))
+    ranked = ranking.list_positions(pages.withColumn("list", F.col("query")), "list", [F.col("page_id")])
+    return graph.structural_graph(ranked.select(F.col("list_id").alias("query_pos"), "query", F.col("pos").cast("long").alias("pos"), "url", F.concat(F.lit("page "), "page_id").alias("title")))
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT key, type, label, rank FROM nodes")
+def graph_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].select("key", "type", "label", "rank")
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT * FROM edges")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT count(*)::BIGINT AS nodes, (SELECT count(*) FROM edges)::BIGINT AS edges, count(*) FILTER (type = 'entity')::BIGINT AS entities, count(*) FILTER (type = 'result')::BIGINT AS results, count(*) FILTER (type = 'query')::BIGINT AS queries, count(*) FILTER (type = 'domain')::BIGINT AS domains FROM nodes")
+def graph_stats(spark, sf_dir):
+    return graph.graph_stats(*_graph(spark, sf_dir))
+
+
+_SEEDS = ["q:de", "d:blog", "page 17"]
+_SEEDS_SQL = """seeds AS (
+  SELECT DISTINCT s AS seed, key FROM nodes, (VALUES ('q:de'), ('d:blog'), ('page 17')) AS wanted(s)
+  WHERE key = s OR (s NOT IN (SELECT key FROM nodes) AND (starts_with(lower(key), lower(s)) OR contains(lower(label), lower(s)))))"""
+_BFS_SQL = f"""WITH RECURSIVE {_GRAPH_SQL}, {_SEEDS_SQL},
+around AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+walk AS (SELECT DISTINCT key, 0 AS level FROM seeds WHERE seed <> 'd:blog' UNION SELECT dst, level + 1 FROM walk JOIN around ON src = key WHERE level < 2),
+reached AS (SELECT key, min(level) AS level FROM walk GROUP BY key)"""
+
+
+@query(f"WITH {_GRAPH_SQL}, {_SEEDS_SQL} SELECT * FROM seeds")
+def resolve_seeds(spark, sf_dir):
+    return graph.resolve_seeds(_graph(spark, sf_dir)[0], _SEEDS)
+
+
+def _reached(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return nodes, edges, graph.bfs_nodes(nodes, edges, graph.resolve_seeds(nodes, [_SEEDS[0], _SEEDS[2]]), 2)
+
+
+@query(_BFS_SQL + " SELECT key, level::INT AS level FROM reached")
+def bfs_nodes(spark, sf_dir):
+    return _reached(spark, sf_dir)[2]
+
+
+@query(_BFS_SQL + " SELECT src, dst, relation, weight FROM edges WHERE src IN (SELECT key FROM reached) AND dst IN (SELECT key FROM reached)")
+def induced_edges(spark, sf_dir):
+    return graph.induced(*_reached(spark, sf_dir))[1]
+
+
+# Graph batches: customers are entities of their segment, and each names its nation.
+
+_UPSERT_SQL = f"""{_GRAPH_SQL},
+entities AS (SELECT c_custkey AS pos, 'e:' || {_SLUG.format('label')} AS key, label, entityType, score FROM (SELECT c_custkey, c_mktsegment || ' ' || c_nationkey AS label, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS entityType, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS score FROM customer)),
+ents AS (SELECT key, arg_max(label, pos) AS label, arg_max(entityType, pos) FILTER (entityType IS NOT NULL) AS entityType, arg_max(score, pos) FILTER (score IS NOT NULL) AS score FROM entities GROUP BY key),
+again AS (SELECT 'r:' || {_SLUG.format('url')} AS key, min(page_id % 7) AS rank FROM pages GROUP BY 1),
+upserted AS (
+  SELECT nodes.key, type, label, NULL AS entityType, NULL::DOUBLE AS score, least(nodes.rank, again.rank) AS rank FROM nodes LEFT JOIN again USING (key)
+  UNION ALL SELECT key, 'entity', label, entityType, score, NULL FROM ents),
+batch AS (
+  SELECT c_custkey * 2 AS pos, 'e:' || {_SLUG.format("c_mktsegment || ' ' || c_nationkey")} AS src, CASE WHEN c_custkey % 2 = 0 THEN 'q:en' ELSE 'q:none' END AS dst, 'about' || c_custkey % 3 AS relation, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS weight FROM customer
+  UNION ALL SELECT page_id * 2 + 1, 'q:en', 'r:' || {_SLUG.format('url')}, 'seen', 0.5 FROM pages WHERE page_id % 9 = 0)"""
+
+
+def _batch(spark, sf_dir):
+    c, pages = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "pages")
+    label = F.concat("c_mktsegment", F.lit(" "), "c_nationkey")
+    entities = c.select(F.col("c_custkey").alias("pos"), F.lit(None).cast("string").alias("id"), label.alias("label"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("entityType"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("score"))
+    results = pages.select(F.col("page_id").alias("pos"), "url", F.lit("again").alias("title"), (F.col("page_id") % 7).alias("rank"))
+    about = c.select((F.col("c_custkey") * 2).alias("pos"), ids.node_id("entity", label).alias("src"), F.when(F.col("c_custkey") % 2 == 0, F.lit("q:en")).otherwise(F.lit("q:none")).alias("dst"), F.concat(F.lit("about"), (F.col("c_custkey") % 3)).alias("relation"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).alias("weight"))
+    seen = pages.where("page_id % 9 = 0").select((F.col("page_id") * 2 + 1).alias("pos"), F.lit("q:en").alias("src"), ids.node_id("result", F.col("url")).alias("dst"), F.lit("seen").alias("relation"), F.lit(0.5).alias("weight"))
+    return graph.add_batch(*_graph(spark, sf_dir), entities, results, about.unionByName(seen))
+
+
+@query(f"WITH {_UPSERT_SQL} SELECT key, type, label, entityType, score, rank FROM upserted")
+def graph_add_nodes(spark, sf_dir):
+    return _batch(spark, sf_dir)[0].select("key", "type", "label", "entityType", "score", "rank")
+
+
+@query(f"""WITH {_UPSERT_SQL}, good AS (SELECT * FROM batch WHERE src IN (SELECT key FROM upserted) AND dst IN (SELECT key FROM upserted)),
+last AS (SELECT src, dst, arg_max(relation, pos) AS relation, arg_max(coalesce(weight, 1.0), pos) AS weight FROM good GROUP BY src, dst)
+SELECT * FROM edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM last) UNION ALL SELECT * FROM last""")
+def graph_add_edges(spark, sf_dir):
+    return _batch(spark, sf_dir)[1]
+
+
+@query(f"WITH {_UPSERT_SQL} SELECT src, dst, relation FROM batch WHERE src NOT IN (SELECT key FROM upserted) OR dst NOT IN (SELECT key FROM upserted)")
+def graph_add_skipped(spark, sf_dir):
+    return _batch(spark, sf_dir)[2]
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT src, s.label AS src_label, s.type AS src_type, relation, weight, dst, d.label AS dst_label, d.type AS dst_type FROM edges JOIN nodes s ON s.key = src JOIN nodes d ON d.key = dst")
+def graph_labelled_edges(spark, sf_dir):
+    return graph.labelled_edges(*_graph(spark, sf_dir))
+
+
+# Sessions: a conversation is a session, a turn a result; later turns are a second round.
+
+_SESS = "SELECT 's' || conv_id AS session_id, turn AS pos, 'http://X.org/' || (turn % 3) || '/?b=' || length(text) || '&a=1#' || turn AS url, role AS title, text AS content FROM conversations"
+_SID = "'http://x.org/' || (turn % 3) || '?a=1&b=' || length(text)"
+
+
+def _turns(spark, sf_dir):
+    url = F.concat(F.lit("http://X.org/"), F.col("turn") % 3, F.lit("/?b="), F.length("text"), F.lit("&a=1#"), F.col("turn"))
+    return _table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.col("turn").alias("pos"), url.alias("url"), F.col("role").alias("title"), F.col("text").alias("content"))
+
+
+_POOL_SQL = f"""turns AS (SELECT 's' || conv_id AS session_id, turn, {_SID} AS id, role AS title FROM conversations),
+old AS (SELECT session_id, turn AS pos, id, title FROM turns WHERE turn < 2 QUALIFY row_number() OVER (PARTITION BY session_id, id ORDER BY turn) = 1),
+new AS (SELECT * FROM turns t WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.session_id = t.session_id AND o.id = t.id) QUALIFY row_number() OVER (PARTITION BY session_id, id ORDER BY turn) = 1),
+pool AS (
+  SELECT * FROM old
+  UNION ALL SELECT new.session_id, coalesce(e.last + 1, 0) + row_number() OVER (PARTITION BY new.session_id ORDER BY turn) - 1, id, title
+  FROM new LEFT JOIN (SELECT session_id, max(pos) AS last FROM old GROUP BY 1) e ON e.session_id = new.session_id)"""
+
+
+def _pool(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    first = session.new_results(turns.limit(0), turns.where("pos < 2"))
+    return first, session.append_results(first, turns)
+
+
+@query(f"WITH {_POOL_SQL} SELECT session_id, pos::BIGINT AS pos, id, title FROM pool")
+def session_append(spark, sf_dir):
+    return _pool(spark, sf_dir)[1].select("session_id", "pos", urls.normalize_url(F.col("url")).alias("id"), "title")
+
+
+@query(f"WITH {_POOL_SQL} SELECT session_id, (count(*) - any_value((SELECT count(*) FROM old WHERE old.session_id = pool.session_id)))::BIGINT AS added, count(*)::BIGINT AS total FROM pool GROUP BY session_id")
+def session_counts(spark, sf_dir):
+    return session.append_counts(*_pool(spark, sf_dir))
+
+
+@query(f"""WITH {_POOL_SQL}, sizes AS (SELECT session_id, count(*) AS results FROM pool GROUP BY 1)
+SELECT session_id, CASE WHEN conv_id % 2 = 0 THEN 'o' || conv_id ELSE '' END AS owner, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id * 1000 END::BIGINT AS "updatedAt", results::BIGINT AS results,
+  CASE WHEN conv_id % 3 = 0 THEN 5 ELSE conv_id * 1000 END::BIGINT AS seen
+FROM (SELECT DISTINCT conv_id, 's' || conv_id AS session_id FROM conversations) JOIN sizes USING (session_id)""")
+def session_listing(spark, sf_dir):
+    conv = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    sid = F.concat(F.lit("s"), "conv_id").alias("session_id")
+    meta = conv.select(sid, F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("o"), "conv_id")).alias("owner"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("query"), F.lit(5).cast("long").alias("createdAt"), F.when(F.col("conv_id") % 3 != 0, F.col("conv_id") * 1000).alias("updatedAt"))
+    listed = session.list_sessions(conv.select(sid), meta, _pool(spark, sf_dir)[1])
+    return listed.select("session_id", "owner", "updatedAt", "results", "seen")
+
+
+@query("""SELECT 's' || conv_id AS session_id FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id * 1000 END AS u FROM (SELECT DISTINCT conv_id FROM conversations)) WHERE NOT (u > 0 AND 36000000 + 50000 - u > 10.0 * 3600000)""")
+def session_delete_older(spark, sf_dir):
+    conv = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    meta = conv.select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.when(F.col("conv_id") % 3 == 0, F.lit(0)).otherwise(F.col("conv_id") * 1000).alias("updatedAt"))
+    return session.without(meta, session.older_than(meta, 10.0, F.lit(36_050_000))).select("session_id")
+
+
+@query("""SELECT coalesce(o.s, n.s) AS session_id, coalesce(nullif(n.owner, ''), o.owner, '') AS owner, coalesce(o.created, 99)::BIGINT AS "createdAt", (CASE WHEN n.s IS NOT NULL THEN 99 ELSE o.created END)::BIGINT AS "updatedAt"
+FROM (SELECT 's' || n_nationkey AS s, n_name AS owner, n_nationkey + 1 AS created FROM nation WHERE n_nationkey < 15) o
+FULL JOIN (SELECT 's' || n_nationkey AS s, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'new' END AS owner FROM nation WHERE n_nationkey > 8) n ON o.s = n.s""")
+def session_meta_upsert(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").withColumn("session_id", F.concat(F.lit("s"), "n_nationkey"))
+    none = F.lit(None).cast("string")
+    old = n.where("n_nationkey < 15").select("session_id", F.col("n_name").alias("owner"), none.alias("description"), none.alias("query"), (F.col("n_nationkey") + 1).cast("long").alias("createdAt"), (F.col("n_nationkey") + 1).cast("long").alias("updatedAt"))
+    new = n.where("n_nationkey > 8").select("session_id", F.when(F.col("n_nationkey") % 2 == 0, F.lit("")).otherwise(F.lit("new")).alias("owner"), none.alias("description"), none.alias("query"))
+    return session.upsert_meta(old, new, F.lit(99).cast("long")).select("session_id", "owner", "createdAt", "updatedAt")
+
+
+@query(f"""WITH {_POOL_SQL},
+ex AS (SELECT 's' AS x, turn AS pos, {_SID} AS id, 'x' || length(text) AS content, CASE WHEN turn % 2 = 0 THEN '' ELSE 'by' || turn END AS byline, conv_id FROM conversations WHERE conv_id % 4 <> 0),
+last AS (SELECT id, arg_max(content, conv_id * 1000 + pos) AS content, arg_max(byline, conv_id * 1000 + pos) FILTER (byline <> '') AS byline FROM ex GROUP BY id)
+SELECT session_id, pos::BIGINT AS pos, coalesce(last.content, 'old') AS content, byline FROM pool LEFT JOIN last USING (id)""")
+def session_merge_content(spark, sf_dir):
+    pool = _pool(spark, sf_dir)[1].withColumn("content", F.lit("old"))
+    conv = _table(spark, sf_dir, "conversations")
+    url = F.concat(F.lit("http://x.org/"), F.col("turn") % 3, F.lit("?a=1&b="), F.length("text"))
+    extracted = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), url.alias("url"), F.concat(F.lit("x"), F.length("text")).alias("content"), F.lit("").alias("excerpt"), F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("by"), "turn")).alias("byline"), F.lit(None).cast("string").alias("siteName"), F.lit(0).cast("long").alias("length"), F.when(F.col("conv_id") % 4 == 0, F.lit("failed")).alias("error"))
+    return session.merge_content(pool, extracted).select("session_id", "pos", "content", "byline")
+
+
+# Extraction and rendering.
+
+@query()
+def extract_pages(spark, sf_dir):
+    return extract.extract_pages(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (n_chars > 100 AND doc_id % 5 <> 0)::BIGINT AS success, count(*) FILTER (NOT (n_chars > 100 AND doc_id % 5 <> 0))::BIGINT AS failed FROM documents")
+def extraction_stats(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.when(F.col("doc_id") % 5 == 0, F.lit("failed")).alias("error"))
+    return extract.extraction_stats(docs)
+
+
+@query()
+def markdown_page(spark, sf_dir):
+    hits = rrf_top_hits(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.col("id").alias("title"), F.concat(F.lit("http://x.org/"), "id").alias("url"), F.lit("").alias("content"), F.col("source").alias("engine"), F.col("lang").alias("category"), F.lit(None).cast("string").alias("publishedDate"), "score")
+    return render.markdown(hits, "documents", ["more"], ["slow"])
+
+
+@query("""SELECT r_regionkey, '{"status":"ok","data":{"name":"' || r_name || '"},"error":null,"hint":null}' AS json FROM region""")
+def json_envelope(spark, sf_dir):
+    return _table(spark, sf_dir, "region").select("r_regionkey", render.success_envelope(F.struct(F.col("r_name").alias("name"))).alias("json"))
+
+
+@query()
+def graph_text(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    sub = graph.subgraph(nodes, edges, ["page 17"], 1)
+    return render.graph_text(*sub, graph.graph_stats(*sub), ["page 17"], 1)
