@@ -6,33 +6,24 @@ bounded bytes, so memory follows the longest single document and not the table.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlix.operators.ordering import cut, prefix_sums
+
+__all__ = ["LOWER", "binary", "chunks", "cut", "fold", "prefix_sums", "table"]
+
 #: Bytes of text that one chunk gathers before it is handed on.
 CHUNK_BYTES = 4 << 20
 #: Maps the ASCII capitals A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Only where the session names no folder (tests, a notebook) is one made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trawlix-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,29 +57,3 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 def binary(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The columns ``keep`` and the text as UTF-8 bytes, ready for ``mapInArrow``."""
     return df.select(*keep, F.col(text).cast("binary").alias(text))
-
-
-def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
-    """Add running totals over a global order without gathering a group in one task.
-
-    Rows are range-sorted by ``order`` (which should be total but for equal rows),
-    each range is summed, and each row's running total is its range's offset plus
-    the total inside the range. Only one row per range meets in a single task.
-    The running totals include the row itself. Hot keys are split over ranges
-    because the order's later columns take part in the range boundaries.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = list(sums)
-    with_values = df.withColumns({f"_v_{k}": c for k, c in sums.items()})
-    keyed = with_values.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    ranged = cut(keyed.repartitionByRange(n, "_order").withColumns({"_range": F.spark_partition_id(), "_tie": F.monotonically_increasing_id()}))
-    totals = ranged.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names])
-    inside = Window.partitionBy("_range").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = ranged.withColumns({k: F.sum(f"_v_{k}").over(inside) for k in names})
-    # One row per range: its count is the number of partitions, a fixed setting.
-    joined = summed.join(F.broadcast(offsets), "_range")
-    out = joined.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in names})
-    return out.drop("_order", "_range", "_tie", *[f"_v_{k}" for k in names], *[f"_b_{k}" for k in names])
