@@ -28,7 +28,7 @@ class SessionStore:
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> str | None:
-        pointer = f"{self.root}/{table}/_current"
+        pointer = f"{self.root}/{table}/current.txt"
         if not self._fs().exists(self._path(pointer)):
             return None
         return self.spark.read.text(pointer).first().value
@@ -47,13 +47,13 @@ class SessionStore:
         before, version = self.version(table), uuid.uuid4().hex
         writer = df.write.partitionBy("session_id") if table == "results" else df.write
         writer.parquet(f"{self.root}/{table}/{version}")
-        fs, pointer = self._fs(), self._path(f"{self.root}/{table}/_current")
+        fs, pointer = self._fs(), self._path(f"{self.root}/{table}/current.txt")
         out = fs.create(pointer, True)
         out.write(bytearray(version.encode()))
         out.close()
         for status in fs.listStatus(self._path(f"{self.root}/{table}")):
             name = status.getPath().getName()
-            if name not in (version, before) and not name.startswith(("_", ".")):
+            if name not in (version, before) and name != "current.txt" and not name.startswith((".", "_")):
                 fs.delete(status.getPath(), True)
 
     def rounds(self) -> DataFrame:
