@@ -38,8 +38,9 @@ ORDER = 5
 BLOCK_BYTES = 192 << 20
 #: Never occurs in UTF-8: pads contexts before a text and ends it.
 END = 0xFF
-#: Positions worked on at once.
-SLICE = 1 << 20
+#: Positions scored at once, and distinct windows that a counting task holds before it merges them.
+SLICE = 1 << 18
+HELD = 1_500_000
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -75,11 +76,11 @@ class Packed:
         self.starts = ORDER + np.concatenate([[0], np.cumsum(self.lengths + ORDER)[:-1]]) if docs else np.zeros(0, np.int64)
         self.stop = len(self.buf) - 8
 
-    def slices(self) -> Iterator[tuple[int, int]]:
+    def slices(self, size: int = 0) -> Iterator[tuple[int, int]]:
         """Spans of the buffer that end at a separator, so that no word is cut."""
         at = ORDER
         while at < self.stop:
-            to = min(at + SLICE, self.stop)
+            to = min(at + (size or SLICE), self.stop)
             if to < self.stop:
                 to = min(_BREAK.search(self.buf, to).end(), self.stop)
             yield at, to
@@ -127,9 +128,9 @@ class _Tally:
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(np.unique(keys, return_counts=True))
         self.rows += len(self.parts[-1][0])
-        if self.rows > 4_000_000 and len(self.parts) > 1:
+        if self.rows > HELD and len(self.parts) > 1:
             self.parts = [self.total()]
-            self.rows = min(len(self.parts[0][0]), 3_000_000)
+            self.rows = min(len(self.parts[0][0]), HELD // 2)
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         return summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts])) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -140,7 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in chunks(batches):
         packed = Packed(texts)
         docs += len(texts)
-        for a, b in packed.slices():
+        for a, b in packed.slices(2 * SLICE):
             keys, padding = packed.grams(a, b)
             grams.add(keys[~padding])
             words.add(packed.words(a, b)[1])
@@ -209,14 +210,14 @@ class Trie:
             total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             tag = _U(k << 56)
             symbol_keys.append(grams | tag)
-            raw.append(np.log(n - 0.5))
-            plain.append(raw[-1] - np.repeat(np.log(total), size))
+            raw.append(np.log(n - 0.5).astype(np.float32))
+            plain.append((np.log(n - 0.5) - np.repeat(np.log(total), size)).astype(np.float32))
             context_keys.append(contexts | tag)
-            escape.append(np.log(0.5 * size / total))
+            escape.append(np.log(0.5 * size / total).astype(np.float32))
             if k == 0:
                 # Below order 0 is order -1: the symbols never seen share it evenly.
-                below.append(np.full(len(contexts), np.log(max(1, 256 - seen))))
-                below_escape.append(np.zeros(len(contexts)))
+                below.append(np.full(len(contexts), np.log(max(1, 256 - seen)), np.float32))
+                below_escape.append(np.zeros(len(contexts), np.float32))
                 continue
             lower, m = levels[k - 1]
             lower_contexts, lower_first = _runs(lower >> _U(8))
@@ -227,12 +228,16 @@ class Trie:
             rest = lower_total[at] - (np.add.reduceat(offered, first) if len(first) else 0) if len(contexts) else np.zeros(0)
             rest_size = lower_size[at] - size if len(contexts) else np.zeros(0)
             some = rest_size > 0
-            below.append(np.log(np.where(some, rest, 1.0)))
-            below_escape.append(np.where(some, np.log(0.5 * np.where(some, rest_size, 1) / np.where(some, rest, 1.0)), 0.0))
+            below.append(np.log(np.where(some, rest, 1.0)).astype(np.float32))
+            below_escape.append(np.where(some, np.log(0.5 * np.where(some, rest_size, 1) / np.where(some, rest, 1.0)), 0.0).astype(np.float32))
+        del levels, grams, n
+        none = np.zeros(1, np.float32)
         self.symbols = Index(np.concatenate(symbol_keys))
-        self.plain, self.raw = (np.append(np.concatenate(x)[self.symbols.order], 0.0) for x in (plain, raw))
+        del symbol_keys
+        self.plain, self.raw = (np.append(np.concatenate(x)[self.symbols.order], none) for x in (plain, raw))
+        del plain, raw
         self.contexts = Index(np.concatenate(context_keys))
-        self.escape, self.below, self.below_escape = (np.append(np.concatenate(x)[self.contexts.order], 0.0) for x in (escape, below, below_escape))
+        self.escape, self.below, self.below_escape = (np.append(np.concatenate(x)[self.contexts.order], none) for x in (escape, below, below_escape))
         self.symbols.order = self.contexts.order = None
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
@@ -256,15 +261,39 @@ class Trie:
         return out
 
 
-_loaded: dict[tuple, object] = {}
+_loaded: dict[str, tuple] = {}
 
 
-def _load(shared, block: int, make):
-    key = (shared.value["id"], block)
-    if key not in _loaded:
+def _load(shared) -> tuple:
+    """The trie, word index, word counts and totals of a broadcast model, built once a worker.
+
+    The broadcast arrays are let go once the tables stand; if they are needed again,
+    the worker reads them from its file.
+    """
+    if shared.id not in _loaded:
         _loaded.clear()
-        _loaded[key] = make()
-    return _loaded[key]
+        model = shared.value
+        model = dict(model)
+        vars(shared.handle).pop("_value", None)
+        trie = Trie(*model.pop("trie"))
+        keys, counts = model.pop("words")
+        words = Index(keys)
+        del keys
+        counts = np.append(counts[words.order], 0)
+        words.order = None
+        _loaded[shared.id] = (trie, words, counts, model)
+    return _loaded[shared.id]
+
+
+class _Shared:
+    """A broadcast with an id of its own."""
+
+    def __init__(self, handle):
+        self.handle, self.id = handle, uuid.uuid4().hex
+
+    @property
+    def value(self) -> dict:
+        return self.handle.value
 
 
 def _block_of(context: np.ndarray, blocks: int) -> np.ndarray:
@@ -273,8 +302,7 @@ def _block_of(context: np.ndarray, blocks: int) -> np.ndarray:
 
 def _scorer(shared, block: int, blocks: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        trie, words, word_counts = _load(shared, block, lambda: (Trie(*model["trie"]), w := Index(model["words"][0]), np.append(model["words"][1][w.order], 0)))
+        trie, words, word_counts, model = _load(shared)
         n, v = model["tokens"], model["distinct"]
         floor = n + 0.5 * (v + 1)
         for part, texts in chunks(batches):
@@ -344,10 +372,10 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
         g, w = grams.select("key", "n").toArrow(), words.select("key", "n").toArrow()
         as_keys = lambda t: t["key"].to_numpy().view(np.uint64)
         model = {
-            "id": uuid.uuid4().hex, "trie": (as_keys(g), g["n"].to_numpy(), *low_pair), "words": (as_keys(w), w["n"].to_numpy()),
+            "trie": (as_keys(g), g["n"].to_numpy(), *low_pair), "words": (as_keys(w), w["n"].to_numpy()),
             "tokens": int(words_total or 0) + train_docs, "distinct": n_words + (train_docs > 0), "docs": train_docs,
         }
-        shared = spark.sparkContext.broadcast(model)
+        shared = _Shared(spark.sparkContext.broadcast(model))
         del g, w, model
         key = "doc_id" if blocks == 1 else "_row"
         key_type = id_type if blocks == 1 else "long"
