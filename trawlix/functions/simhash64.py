@@ -1,8 +1,8 @@
 """64-bit SimHash of white-space tokens under a polynomial string hash.
 
 A token's hash is its UTF-16 code units as digits in base 31, modulo 2 ** 64. Both
-steps run on whole Arrow batches in numpy: per-character lambdas in the JVM took
-about ten times as long. Values are the hash's bits as signed longs: compare them by
+steps run on whole texts in numpy, since a lambda per character is slow in the JVM.
+Values are the hash's bits as signed longs: compare them by
 ``hamming`` only.
 """
 
