@@ -23,6 +23,15 @@ def test_fusion(spark):
     assert pick(False) == {"a": "a-0", "b": "b-0", "c": "c-1"} and pick(True) == {"a": "a-0", "b": "b-1", "c": "c-1"}
 
 
+def test_responses_become_lists(spark):
+    hit = "struct<url:string,title:string>"
+    df = spark.createDataFrame([(0, "q", [("http://a", "A"), ("http://b", "B")], ["s"]), (1, "r", [("http://a/", "A2")], [])], f"list_id int, query string, results array<{hit}>, corrections array<string>")
+    hits = ranking.explode_responses(df)
+    assert hits.columns == ["list_id", "query", "pos", "url", "title"]
+    shown, total = ranking.merge_searches(hits.drop("query"), limit=1)
+    assert [(r.id, r.title) for r in shown.collect()] == [("http://a/", "A")] and total.first().totalResults == 3
+
+
 def test_scores_without_value_come_last(spark):
     df = spark.createDataFrame([(0, None), (1, 0.5), (2, float("nan")), (3, 2.0), (4, 0.5)], "pos long, score double")
     assert [r.pos for r in df.orderBy(*ranking.by_score(F.col("score"), F.col("pos"))).collect()] == [3, 1, 4, 0, 2]

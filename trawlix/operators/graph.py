@@ -58,6 +58,18 @@ def structural_graph(results: DataFrame, nodes: DataFrame | None = None, edges:
     return new_nodes, new_edges
 
 
+def append_result_nodes(nodes: DataFrame, results: DataFrame) -> DataFrame:
+    """The nodes and, where new, a result node per row of results (pos, url, title): no edges, the first row of a key wins."""
+    made = results.select(F.col("pos").alias("_pos"), _node(key=node_id("result", F.col("url")), type=F.lit("result"), label=F.col("title"), url=F.col("url"), title=F.col("title"), rank=F.col("pos") + 1).alias("node"))
+    first = made.groupBy("node.key").agg(F.min_by("node", "_pos").alias("node")).select("node.*")
+    return nodes.unionByName(first.join(nodes, "key", "left_anti"))
+
+
+def seed_hint(nodes: DataFrame, n: int = 10) -> DataFrame:
+    """The first n keys, to show where no seed was found."""
+    return nodes.select("key").orderBy("key").limit(n)
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, entities, results, queries, domains."""
     kinds = {"entities": "entity", "results": "result", "queries": "query", "domains": "domain"}

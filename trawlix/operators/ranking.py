@@ -112,3 +112,26 @@ def list_positions(rows: DataFrame, list_col: str, order: list[Column]) -> DataF
     """list_id and pos (from 0) for lists of moderate size; use ordering.with_positions for one huge list."""
     w = Window.partitionBy(list_col).orderBy(*order)
     return rows.withColumn("pos", F.row_number().over(w) - 1).withColumnRenamed(list_col, "list_id")
+
+
+def explode_responses(responses: DataFrame) -> DataFrame:
+    """Hits (list_id, query, pos, ...) of search responses: list_id, query, results array; other parts are not carried."""
+    return responses.select("list_id", "query", F.posexplode("results").alias("pos", "hit")).select("list_id", "query", "pos", "hit.*")
+
+
+def merge_searches(hits: DataFrame, history: DataFrame | None = None, per_list: int = 0, limit: int = 10, k: float = RRF_K) -> tuple[DataFrame, DataFrame]:
+    """The fused page of several searches, and one row with totalResults.
+
+    hits: list_id, pos, url and the hit's columns; history: pos, url, ..., which
+    counts as the last list. Lists are cut before they are fused, the page after.
+    totalResults counts every hit that took part, before URLs are made distinct.
+    """
+    from trawlix.functions.urls import normalize_url
+
+    lists = limit_lists(hits, per_list)
+    if history is not None:
+        lists = lists.unionByName(history.withColumn("list_id", F.lit(2**31 - 1)), allowMissingColumns=True)
+    keyed = lists.withColumn("id", normalize_url(F.col("url")))
+    shown = pick_hits(fuse(keyed, k), keyed.where("id <> ''"))
+    ordered = shown.orderBy(*fused_order())
+    return (ordered.limit(limit) if limit > 0 else ordered), lists.agg(F.count("*").alias("totalResults"))

@@ -308,6 +308,46 @@ def induced_edges(spark, sf_dir):
     return graph.induced(*_reached(spark, sf_dir))[1]
 
 
+@query(f"""WITH {_GRAPH_SQL}, extra AS (SELECT 499 - page_id % 500 AS pos, page_id, 'r:' || {_SLUG.format("'http://new.org/' || page_id % 40")} AS key FROM pages)
+SELECT key, type, label, rank FROM nodes UNION ALL
+SELECT key, 'result', 'n' || arg_min(page_id, pos), min(pos) + 1 FROM extra WHERE page_id < 500 AND key NOT IN (SELECT key FROM nodes) GROUP BY key""")
+def graph_append_results(spark, sf_dir):
+    extra = _table(spark, sf_dir, "pages").where("page_id < 500").select((F.lit(499) - F.col("page_id") % 500).alias("pos"), F.concat(F.lit("http://new.org/"), F.col("page_id") % 40).alias("url"), F.concat(F.lit("n"), "page_id").alias("title"))
+    return graph.append_result_nodes(_graph(spark, sf_dir)[0], extra).select("key", "type", "label", "rank")
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT key FROM nodes ORDER BY key LIMIT 10")
+def seed_hint(spark, sf_dir):
+    return graph.seed_hint(_graph(spark, sf_dir)[0])
+
+
+_MERGE_SQL = f"""WITH keyed AS (SELECT page_id, url, {_NORM_SQL} AS id FROM pages),
+lists AS (
+  SELECT 0 AS l, row_number() OVER (ORDER BY page_id) - 1 AS pos, * FROM keyed WHERE page_id % 2 = 0
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY url, page_id) - 1, * FROM keyed
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY page_id DESC) - 1, * FROM keyed WHERE page_id % 5 = 0),
+short AS (SELECT * FROM lists WHERE l = 2 OR pos < 60)"""
+
+
+def _merged(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    lists = with_positions(pages.where("page_id % 2 = 0"), [F.col("page_id")]).withColumn("list_id", F.lit(0))
+    lists = lists.unionByName(with_positions(pages, [F.col("url"), F.col("page_id")]).withColumn("list_id", F.lit(1)))
+    history = with_positions(pages.where("page_id % 5 = 0"), [F.col("page_id") * -1])
+    return ranking.merge_searches(lists, history, per_list=60, limit=25)
+
+
+@query(_MERGE_SQL + """, fused AS (SELECT id, sum(1.0::DOUBLE / (60.0::DOUBLE + pos + 1)) AS score, min(l * 1000000000000 + pos) AS f, arg_min(page_id, l * 1000000000000 + pos) AS page_id FROM short GROUP BY id)
+SELECT id, page_id, round(score, 12) AS score FROM fused ORDER BY fused.score DESC, f LIMIT 25""")
+def multi_query_page(spark, sf_dir):
+    return _merged(spark, sf_dir)[0].select("id", "page_id", F.round("score", 12).alias("score"))
+
+
+@query(_MERGE_SQL + ' SELECT count(*)::BIGINT AS "totalResults" FROM short')
+def multi_query_total(spark, sf_dir):
+    return _merged(spark, sf_dir)[1]
+
+
 # Graph batches: customers are entities of their segment, and each names its nation.
 
 _UPSERT_SQL = f"""{_GRAPH_SQL},
