@@ -39,6 +39,8 @@ SEED = 42
 DISTANCE = 3
 #: Fingerprints of one key that are compared without cutting the key again.
 DIRECT = 20_000
+#: Bytes of text fingerprinted at once; the shingles' bits take about 12 times as much.
+FINGERPRINT_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -74,7 +76,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches):
+    for part, texts in chunks(batches, limit=FINGERPRINT_BYTES):
         names = [n for n in part.schema.names if n != "text"]
         yield pa.record_batch([*[part.column(part.schema.get_field_index(n)) for n in names], pa.array(fingerprints(texts).view(np.int64))], [*names, "fp"])
 
