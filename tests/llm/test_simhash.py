@@ -84,3 +84,10 @@ def test_documents(spark):
     assert out == [(-1, -1), (2, 2), (3, 3), (5, 3), (7, 7), (7, 7), (9, 7)]
     assert {r.fingerprint for r in got.where("doc_id = 7").collect()} == {"0" * 16}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from here"
+    rows = [(5, text, 1, 2, 3), (3, text.upper(), 4, 5, 6), (2, "entirely other words stand in this text", 7, 8, 9), (2, "entirely other words stand in this text", 7, 8, 9)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash int, root int"))
+    assert sorted(map(tuple, kept.collect())) == [rows[2], rows[1]]

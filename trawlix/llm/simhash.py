@@ -231,5 +231,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
