@@ -6,9 +6,10 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from trawlix.sources import literals
-from trawlix.sources.search import SearchSource, healthy
-from trawlix.sources.session_store import SessionStore
+from trawlix.operators import extract, ranking
+from trawlix.sources import fetch, literals
+from trawlix.sources.search import SearchSource, healthy, read_categories, read_engines
+from trawlix.sources.session_store import SessionStore, session_root
 from trawlix.streaming import session_stream
 
 ROW = "session_id string, pos long, url string, title string"
@@ -16,11 +17,22 @@ ROW = "session_id string, pos long, url string, title string"
 
 class _Server(BaseHTTPRequestHandler):
     def do_GET(self):
+        if self.path == "/config":
+            self._answer(json.dumps({"engines": [{"name": "a", "enabled": True}, {"name": "b", "enabled": False}], "categories": ["news", {"name": "it"}, {"name": ""}, ""]}).encode())
+            return
+        if self.path.startswith("/page"):
+            body = "<html><head><title>T</title></head><body><article><p>" + "Words of an article, and more of them. " * 20 + "</p></article></body></html>"
+            self._answer(body.encode(), 404 if self.path == "/page/none" else 200)
+            return
         asked = parse_qs(urlparse(self.path).query)
         q = asked.get("q", [""])[0]
         hits = [{"title": f"{q} {i}", "url": f"http://{q}.org/{i}", "score": s, "snippet": "s"} for i, s in enumerate([None, 0.5, 2])]
         body = json.dumps({"results": hits, "asked": asked}).encode()
-        self.send_response(200)
+        self._answer(body)
+
+    def _answer(self, body, status=200):
+        self.send_response(status)
+        self.send_header("content-length", str(len(body)))
         self.end_headers()
         self.wfile.write(body)
 
@@ -104,3 +116,37 @@ def test_streaming_distinct_and_windows(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
     assert sorted(r.id for r in spark.table("distinct").collect()) == ["http://a.org/", "http://b.org/"]
     assert [r.n for r in spark.table("windows").collect()] == [2]
+
+
+def test_catalogs(spark, base_url):
+    assert [r.name for r in read_engines(spark, base_url).collect()] == ["a"]
+    assert sorted(r.name for r in read_categories(spark, base_url).collect()) == ["it", "news"]
+    assert read_engines(spark, "http://127.0.0.1:9").count() == read_categories(spark, "http://127.0.0.1:9").count() == 0
+    ranking.require_allowed(["x"], [])
+    with pytest.raises(ValueError, match="INVALID_ENGINES: x"):
+        ranking.require_allowed(["a", "x"], ["a"])
+
+
+def test_fetch_and_extract(spark, base_url):
+    urls = [f"{base_url}/page/1", f"{base_url}/page/none", "http://127.0.0.1:9/x", "mailto:a@b", None]
+    fetched = fetch.fetch_pages(spark.createDataFrame(list(enumerate(urls)), "pos long, url string"))
+    rows = {r.pos: r for r in extract.extract_fetched(fetched).collect()}
+    assert rows[0].error is None and rows[0].content.startswith("Words of an article") and rows[0].title == "T"
+    assert rows[1].error == "HTTP 404" and rows[3].error == rows[4].error == "not an http URL" and rows[2].error
+    assert fetch.page_of(urls[0], max_bytes=100) == (None, "page over 100 bytes")
+
+
+def test_sources_of_urls(spark):
+    named = lambda *urls: spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos long, url string")
+    assert [r.url for r in extract.urls_of(["http://a"], named("http://b")).collect()] == ["http://a"]
+    assert [r.url for r in extract.urls_of(None, named("", "http://b"), named("http://c")).collect()] == ["http://b"]
+    for given, code in (((None, named()), "SESSION_EMPTY"), ((None, named("")), "NO_URLS"), ((None, None, named(None)), "NO_URLS"), ((), "MISSING_INPUT")):
+        with pytest.raises(ValueError, match=code):
+            extract.urls_of(*given)
+
+
+def test_session_names():
+    assert session_root("a1", "/home/s/") == "/home/s/a1" and session_root("/x/y", "/home") == "/x/y"
+    assert session_root("new", "/h") != session_root("new", "/h")
+    with pytest.raises(ValueError, match="not a session name"):
+        session_root("..", "/h")

@@ -169,6 +169,12 @@ def urls_of(urls: list[str] | None = None, session: DataFrame | None = None, fro
         if source is not None:
             found = source.where(F.col("url").isNotNull() & (F.col("url") != "")).select("pos", "url")
             if found.isEmpty():
-                raise ValueError("SESSION_EMPTY" if source is session else "NO_URLS")
+                raise ValueError("SESSION_EMPTY" if source is session and source.isEmpty() else "NO_URLS")
             return found
     raise ValueError("MISSING_INPUT")
+
+
+def extract_fetched(fetched: DataFrame) -> DataFrame:
+    """pos, url and the article of fetched pages (pos, url, html, fetchError); a page that was not had keeps its error."""
+    found = extract_pages(fetched, ["pos", "url", "fetchError"])
+    return found.withColumn("error", F.coalesce("fetchError", "error")).drop("fetchError")

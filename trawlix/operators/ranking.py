@@ -82,6 +82,13 @@ def unknown_engines(asked: list[str], engines: DataFrame) -> DataFrame:
     return wanted.join(enabled_engines(engines), "name", "left_anti")
 
 
+def require_allowed(asked: list[str], allowed: list[str]) -> None:
+    """Refuses engines that are not on the list of allowed ones; an empty list allows all."""
+    wrong = [e for e in asked if e not in allowed] if allowed else []
+    if wrong:
+        raise ValueError(f"INVALID_ENGINES: {', '.join(wrong)}")
+
+
 def enabled_engines(engines: DataFrame) -> DataFrame:
     return engines.where("enabled").select("name")
 

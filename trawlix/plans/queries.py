@@ -501,3 +501,36 @@ def graph_text(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     sub = graph.subgraph(nodes, edges, ["page 17"], 1)
     return render.graph_text(*sub, graph.graph_stats(*sub), ["page 17"], 1)
+
+
+@query(f"""WITH {_UPSERT_SQL}, good AS (SELECT DISTINCT src, dst FROM batch WHERE src IN (SELECT key FROM upserted) AND dst IN (SELECT key FROM upserted))
+SELECT ((SELECT count(*) FROM upserted) - (SELECT count(*) FROM nodes))::BIGINT AS "nodesAdded", (SELECT count(*) FROM good WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges))::BIGINT AS "edgesAdded\"""")
+def graph_delta(spark, sf_dir):
+    after = _batch(spark, sf_dir)
+    return graph.graph_delta(graph.graph_stats(*_graph(spark, sf_dir)), graph.graph_stats(after[0], after[1]))
+
+
+# Files and inline JSON, written from the tables and read back.
+
+
+@query("SELECT 1 AS pos, 'page ' || page_id AS title, url FROM pages WHERE url <> ''")
+def results_file_hits(spark, sf_dir):
+    page = F.struct(F.concat(F.lit("page "), "page_id").alias("title"), "url")
+    results = F.array(F.struct(F.lit("no url").alias("title"), F.lit("").alias("url")), page)
+    bare, enveloped = F.struct(results.alias("results")), F.struct(F.lit("ok").alias("status"), F.struct(results.alias("results")).alias("data"))
+    files = _table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.to_json(enveloped)).otherwise(F.to_json(bare)).alias("value"))
+    return literals.results_of(files).select("pos", "title", "url")
+
+
+@query("SELECT i AS pos, 'e:' || n_nationkey AS src, 'r' || n_regionkey AS dst, CASE WHEN i = 0 THEN 'in' END AS relation, CASE WHEN i = 1 THEN 0.5::DOUBLE END AS weight FROM nation, (VALUES (0), (1)) AS t(i)")
+def inline_batch_edges(spark, sf_dir):
+    end = [F.concat(F.lit("e:"), "n_nationkey").alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target")]
+    one = lambda relation, weight: F.struct(*end, F.lit(relation).cast("string").alias("relation"), F.lit(weight).cast("double").alias("weight"))
+    data = _table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.array(one("in", None), one(None, 0.5)).alias("edges"))).alias("data"))
+    return literals.inline_batch(data)["edges"].select("pos", "src", "dst", "relation", "weight")
+
+
+@query("SELECT n_nationkey AS list_id, n_name AS query, i AS pos, CASE WHEN i = 0 THEN n_name ELSE 'more' END AS title FROM nation, (VALUES (0), (1)) AS t(i)")
+def response_hits(spark, sf_dir):
+    hits = F.array(F.struct(F.col("n_name").alias("title")), F.struct(F.lit("more").alias("title")))
+    return ranking.explode_responses(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("list_id"), F.col("n_name").alias("query"), hits.alias("results")))

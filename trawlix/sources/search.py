@@ -11,8 +11,11 @@ import json
 import urllib.parse
 import urllib.request
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from trawlix.operators.ranking import category_names, enabled_engines
+
 SCHEMA = "list_id int, query string, pos long, title string, url string, content string, engine string, category string, publishedDate string, thumbnail string, score double"
 TIME_RANGES = {"day", "week", "month", "year", "all"}
 
@@ -65,3 +68,24 @@ def healthy(base_url: str, timeout_ms: int = 5000) -> bool:
             return answer.status == 200
     except OSError:
         return False
+
+
+def _config(base_url: str, timeout_ms: int) -> dict:
+    """What the server says of itself; nothing if it does not answer."""
+    try:
+        with urllib.request.urlopen(f"{base_url}/config", timeout=timeout_ms / 1000) as answer:
+            return json.load(answer) or {}
+    except (OSError, ValueError):
+        return {}
+
+
+def read_engines(spark: SparkSession, base_url: str, timeout_ms: int = 10_000) -> DataFrame:
+    """name of each enabled engine; empty if the server does not answer."""
+    rows = [(e.get("name"), bool(e.get("enabled"))) for e in _config(base_url, timeout_ms).get("engines") or []]
+    return enabled_engines(spark.createDataFrame(rows, "name string, enabled boolean"))
+
+
+def read_categories(spark: SparkSession, base_url: str, timeout_ms: int = 10_000) -> DataFrame:
+    """name of each category, which the server gives as a text or an object."""
+    rows = [(c if isinstance(c, str) else json.dumps(c),) for c in _config(base_url, timeout_ms).get("categories") or []]
+    return category_names(spark.createDataFrame(rows, "category string"))

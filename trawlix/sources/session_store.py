@@ -17,6 +17,17 @@ TABLES = ("results", "meta", "nodes", "edges")
 _NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 
 
+def session_root(named: str, home: str) -> str:
+    """Where a session of this name lies: a new one, a plain name under ``home``, or the path as it stands."""
+    if named == "new":
+        return f"{home.rstrip('/')}/s_{uuid.uuid4().hex[:12]}"
+    if re.search(r"[/\\\\]", named):
+        return named
+    if not _NAME.match(named):
+        raise ValueError(f"not a session name: {named}")
+    return f"{home.rstrip('/')}/{named}"
+
+
 class SessionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
