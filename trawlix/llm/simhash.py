@@ -227,9 +227,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, with all its columns: the one of the least doc_id."""
+    """One document of each component stays, with all its columns: the one of the least doc_id.
+
+    Texts are shuffled once, by the join; only rows that stand in the table more than
+    once are compared whole.
+    """
     found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    kept = cut(first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.copies").alias("_copies")))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.join(of, docs["doc_id"].eqNullSafe(of["_id"]) & (F.xxhash64(docs["text"]) == of["_hash"]), "left_semi")
+
+    return rows(kept.where("_copies = 1")).unionByName(rows(kept.where("_copies > 1")).dropDuplicates(["doc_id", "text"]))
