@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawlix.llm import mixing
 
@@ -71,3 +72,11 @@ def test_empty(spark):
     assert mixing.mix(df).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")
     assert [(r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(one).collect()] == [(0, 0, 0.0, 0)]
+
+
+def test_words_of_any_text(spark):
+    import re
+
+    texts = [None, "", " \t\n\x0b\x0c\r ", "a", " a  b\tc\n", "w ww www", "$1 \\ \\w", "é ü x y", "\U0001f600 \U0001f601\U0001f602", "x" * 100_000, "w " * 50_000, "\x1c\x85 ​"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.n_words(F.col("text")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}

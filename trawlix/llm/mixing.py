@@ -29,10 +29,13 @@ from .common import cut, prefix_sums
 REPEATS = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text. Each becomes one letter, so that no array of words is made, and all else left is white space."""
+    letters = F.translate(F.regexp_replace(text, WORD, "w"), SPACES, "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
