@@ -54,6 +54,25 @@ def test_markup_that_is_cut_off_or_deep():
     assert texts[6] == "deep words that stay here" and len(texts[7]) == 50_000 * 5 - 1 and texts[8] == "quoted sign is no text."
 
 
+def test_raw_elements_without_an_end_tag():
+    before, after = "<article><p>A line of text before it.</p>", "<p>A line of text after it.</p>"
+    both = "A line of text before it.\nA line of text after it."
+    odd = ["<svg class=i />", "<svg/>", "<SVG CLASS='a>b'/>", "<math/>", "<select>", "<object data=x>", "<template>", "<svg>", "<noscript>", "<iframe src=x>"]
+    closed = ["<svg><svg/><text>no</text></svg>", "<svg><svg>no</svg>no</svg>", "<select><option>no</select >", "<object>no<!-- <object> -->no</object>", "<noscript>no<script>'<noscript>'</script>no</noscript\n>", "<svg>no</svgx>no</svg>", "<svg>no</svg"]
+    pages = [before + x + after + "</article>" for x in odd] + [before + x + after + f"</article><{n}>no</{n}>" for x, n in (("<svg>", "svg"), ("<svg/>", "svg"), ("<select>", "select"))]
+    pages += [before + x + after for x in closed[:-1]]
+    texts = h.main_texts(pages, h.train())
+    assert texts == [both] * len(pages)
+    shut = h.main_texts([before + closed[-1], before + "<textarea>" + after, before + "<script>" + after, before + "<style>no</styles>" + after], h.train())
+    assert shut == ["A line of text before it."] * 4
+
+
+def test_head_without_its_end_tag():
+    line = "<article><header><h1>A title here</h1></header><p>A line of text after it.</p></article>"
+    starts = ["<html><head><title>no</title>", "<head><title>no</title></head>", "<head><title>no</title><body>", "<head>no</HEAD >", "<head><title>no</title><style>p{}</style>"]
+    assert h.main_texts([x + line for x in starts], h.train()) == ["A title here\nA line of text after it."] * len(starts)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<a href=x>", "</a>", "text & ", "<", ">", '"', "<!--", "-->", "<ul><li>", "</ul>", "<table><tr><td>", "&#x41;", "<script>", "</script>", "<body>", "</html>", "é"]), max_size=40))
 def test_any_markup(parts):

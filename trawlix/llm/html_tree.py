@@ -38,6 +38,10 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Tags of HTML by what they do here.
 RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "title", "select", "head"}
+#: Of these, what has no end tag goes on to the page's end; any other of RAW is then only a tag.
+TO_THE_END = {"script", "style", "textarea", "title"}
+MARK_OF_RAW = re.compile(rf"<(?:!--|/?(?:{'|'.join(sorted(RAW - {'head'}))})(?=[\s/>]|\Z))", re.A)
+END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.A) for name in TO_THE_END} | {"head": re.compile(r"(?:</head|<body)(?=[\s/>]|\Z)", re.A)}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 KINDS = {
     "article": "article", "main": "main", "section": "section", "div": "div", "body": "body", "html": "html", "p": "p", "h1": "h1", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading",
@@ -60,6 +64,30 @@ EDGES = 4
 APART = {"nav", "aside", "footer", "form", "header", "dialog"}
 
 
+def raw_ends(html: str) -> dict[int, int]:
+    """Where the end tag of each element of RAW is, by where its start tag ends; one without an end tag is not there.
+
+    An end tag belongs to the last open start tag of its name. Comments and what is in
+    scripts and the like hold no tags; a start tag of svg or math may close itself.
+    """
+    ends, opened, at = {}, {}, 0
+    while mark := MARK_OF_RAW.search(html, at):
+        match = TOKEN.match(html, mark.start())
+        at = match.end()
+        name = (match[2] or match[5] or "").lower()
+        if not name:
+            continue
+        if match[1] or match[4]:
+            if opened.get(name):
+                ends[opened[name].pop()] = match.start()
+        elif name in TO_THE_END:
+            end = END_OF[name].search(html, at)
+            ends[at] = at = end.start() if end else len(html)
+        elif name not in ("svg", "math") or not (match[3] or match[6] or "").endswith("/"):
+            opened.setdefault(name, []).append(at)
+    return ends
+
+
 class Page:
     """Nodes of one page: parent (-1: none), depth, feature columns with values, edge kind; text of text blocks."""
 
@@ -81,7 +109,7 @@ class Page:
         stack = [("html", root, "html")]
         pending: list[str] = []
         linked = [0, 0]  # depth of open links, characters in links
-        lowered = None
+        lowered = ends = None
 
         def flush() -> None:
             if pending:
@@ -115,15 +143,17 @@ class Page:
                 continue
             name, closing = name.lower(), bool(match[1] or match[4])
             if not closing and name in RAW:
+                lowered = lowered or html.lower()
                 if name == "head":
                     # The head ends where it says so, or where the body starts.
-                    lowered = lowered or html.lower()
-                    ends = [e for e in (lowered.find("</head", at), lowered.find("<body", at)) if e >= 0]
-                    at = min(ends) if ends else at
-                    continue
-                lowered = lowered or html.lower()
-                end = lowered.find("</" + name, at)
-                at = len(html) if end < 0 else end
+                    end = END_OF[name].search(lowered, at)
+                    at = end.start() if end else at
+                elif name in TO_THE_END:
+                    end = END_OF[name].search(lowered, at)
+                    at = end.start() if end else len(html)
+                else:
+                    ends = raw_ends(lowered) if ends is None else ends
+                    at = ends.get(at, at)
                 continue
             if name == "a":
                 linked[0] = 0 if closing else 1
