@@ -67,6 +67,12 @@ def test_raw_elements_without_an_end_tag():
     assert shut == ["A line of text before it."] * 4
 
 
+def test_letters_whose_lower_case_is_longer():
+    many = "İ" * 60
+    pages = [f"<head><title>{many}</title></HEAD><article><p>{many}.</p>{x}<p>A line of text after it.</p></article>" for x in ("<script>no</SCRIPT>", "<style>no</style>", "<svg>no</SVG>", "<SELECT>no</select>", "<svg/>")]
+    assert h.main_texts(pages, h.train()) == [f"{many}.\nA line of text after it."] * len(pages)
+
+
 def test_head_without_its_end_tag():
     line = "<article><header><h1>A title here</h1></header><p>A line of text after it.</p></article>"
     starts = ["<html><head><title>no</title>", "<head><title>no</title></head>", "<head><title>no</title><body>", "<head>no</HEAD >", "<head><title>no</title><style>p{}</style>"]

@@ -40,8 +40,8 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "title", "select", "head"}
 #: Of these, what has no end tag goes on to the page's end; any other of RAW is then only a tag.
 TO_THE_END = {"script", "style", "textarea", "title"}
-MARK_OF_RAW = re.compile(rf"<(?:!--|/?(?:{'|'.join(sorted(RAW - {'head'}))})(?=[\s/>]|\Z))", re.A)
-END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.A) for name in TO_THE_END} | {"head": re.compile(r"(?:</head|<body)(?=[\s/>]|\Z)", re.A)}
+MARK_OF_RAW = re.compile(rf"<(?:!--|/?(?:{'|'.join(sorted(RAW - {'head'}))})(?=[\s/>]|\Z))", re.A | re.I)
+END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.A | re.I) for name in TO_THE_END} | {"head": re.compile(r"(?:</head|<body)(?=[\s/>]|\Z)", re.A | re.I)}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 KINDS = {
     "article": "article", "main": "main", "section": "section", "div": "div", "body": "body", "html": "html", "p": "p", "h1": "h1", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading",
@@ -109,7 +109,7 @@ class Page:
         stack = [("html", root, "html")]
         pending: list[str] = []
         linked = [0, 0]  # depth of open links, characters in links
-        lowered = ends = None
+        ends = None
 
         def flush() -> None:
             if pending:
@@ -143,16 +143,15 @@ class Page:
                 continue
             name, closing = name.lower(), bool(match[1] or match[4])
             if not closing and name in RAW:
-                lowered = lowered or html.lower()
                 if name == "head":
                     # The head ends where it says so, or where the body starts.
-                    end = END_OF[name].search(lowered, at)
+                    end = END_OF[name].search(html, at)
                     at = end.start() if end else at
                 elif name in TO_THE_END:
-                    end = END_OF[name].search(lowered, at)
+                    end = END_OF[name].search(html, at)
                     at = end.start() if end else len(html)
                 else:
-                    ends = raw_ends(lowered) if ends is None else ends
+                    ends = raw_ends(html) if ends is None else ends
                     at = ends.get(at, at)
                 continue
             if name == "a":
