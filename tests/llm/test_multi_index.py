@@ -40,6 +40,23 @@ def test_all_of_the_index_is_exact(spark):
             assert [got[q, n + 1][0] for n in range(3)] == [i for _, i in d[:3]]
 
 
+def nearest_by_all_pairs(x, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return [int(i) for i in np.lexsort((np.arange(len(x)), d))[:k]]
+
+
+def test_many_ties_and_a_large_offset(spark):
+    rng = np.random.default_rng(7)
+    flipped = [[1.0 - (j in (a, b)) for j in range(32)] for a in range(32) for b in range(a)]
+    ties = np.array([[1.0] * 32, *[flipped[i] for i in rng.permutation(len(flipped))]])
+    for x in (ties, 1e8 + rng.integers(0, 5, (400, 8))):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = mi.nearest(df, F.col("vec_id") % 25 == 0, centroids=4, probe=1.0).orderBy("query_id", "rank").collect()
+        by = {q: [r.vec_id for r in got if r.query_id == q] for q in range(0, len(x), 25)}
+        assert by == {q: nearest_by_all_pairs(x, q, 10) for q in by}
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in mi.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 5, 2.0)]

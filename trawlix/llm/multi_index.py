@@ -4,7 +4,8 @@ Vectors are cut into two halves, each quantised by its own ``CENTROIDS`` k-means
 centroids, so a vector belongs to one cell of a grid of pairs. A query walks the
 grid's cells in order of summed squared distance, by a heap over the two sorted
 centroid lists, until the cells hold ``PROBE`` of all vectors. Entries of those
-cells are ranked by their exact distance in double precision.
+cells are ranked by their exact distance in double precision; a matrix product only
+rules out rows that are farther than k others by more than its rounding.
 
 Centroids are fitted on ``SAMPLE`` vectors at most, chosen by a hash of vec_id;
 every vector is indexed. The rows are range-sorted by cell, so a batch of rows is
@@ -45,8 +46,8 @@ LEAST = 8
 QUERY_BLOCK = 1024
 ROW_BLOCK = 1024
 K = 10
-#: Candidates kept beyond k where distances are first found by a matrix product.
-SLACK = 8
+#: Numbers of the differences that are held at once where distances are found exactly.
+EXACT_BLOCK = 1 << 21
 
 
 def usable(vector: Column) -> Column:
@@ -132,6 +133,24 @@ def _walks(shared):
     return walks
 
 
+def _near(q: np.ndarray, norms: np.ndarray, x: np.ndarray, free: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which rows of x may be among the nearest of each q, of the rows that are free and the best distances so far.
+
+    Squared distances come from a matrix product; ``off`` is over what rounding can make
+    of them and of the exact ones. Only rows that are surely farther than k others go.
+    """
+    k, size = best.shape[1], norms[:, None] + (x**2).sum(1)
+    eps = np.finfo(np.float64).eps
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = size - 2 * q @ x.T
+        off = 4 * (x.shape[1] + 8) * eps * size + np.finfo(np.float64).tiny
+        limit = best[:, -1] ** 2 * (1 + 8 * eps)
+        if k <= d.shape[1]:
+            limit = np.fmin(limit, np.partition(np.where(free, d + off, np.inf), k - 1, axis=1)[:, k - 1])
+        # Numbers whose squares overflow compare as false and stay.
+        return ~(d - off > limit[:, None])
+
+
 def _search(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -147,18 +166,19 @@ def _search(shared, k: int):
                 asks = np.flatnonzero(visits.any(axis=1))
                 if not len(asks):
                     continue
-                d = norms[asks][:, None] - 2 * q[asks] @ x.T + (x**2).sum(1)
-                d[~visits[asks] | (ids[asks][:, None] == row_ids)] = np.inf
-                take = min(k + SLACK, d.shape[1])
-                near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                kept = np.take_along_axis(d, near, axis=1)
-                exact = np.sqrt(((x[near] - q[asks][:, None, :]) ** 2).sum(2))
-                exact[np.isinf(kept)] = np.inf
-                all_d = np.concatenate([best_d[asks], exact], axis=1)
-                all_id = np.concatenate([best_id[asks], np.where(np.isinf(exact), np.iinfo(np.int64).max, row_ids[near])], axis=1)
-                order = np.lexsort((all_id, all_d), axis=1)[:, :k]
-                best_d[asks] = np.take_along_axis(all_d, order, axis=1)
-                best_id[asks] = np.take_along_axis(all_id, order, axis=1)
+                free = visits[asks] & (ids[asks][:, None] != row_ids)
+                who, which = np.nonzero(free & _near(q[asks], norms[asks], x, free, best_d[asks]))
+                exact = np.empty(len(who))
+                step = max(1, EXACT_BLOCK // x.shape[1])
+                for i in range(0, len(who), step):
+                    exact[i : i + step] = np.sqrt(((x[which[i : i + step]] - q[asks[who[i : i + step]]]) ** 2).sum(1))
+                all_who = np.concatenate([np.repeat(np.arange(len(asks)), k), who])
+                all_d = np.concatenate([best_d[asks].ravel(), exact])
+                all_id = np.concatenate([best_id[asks].ravel(), row_ids[which]])
+                order = np.lexsort((all_id, all_d, all_who))
+                first = np.searchsorted(all_who[order], np.arange(len(asks)))
+                top = order[first[:, None] + np.arange(k)]
+                best_d[asks], best_id[asks] = all_d[top], all_id[top]
         row, column = np.nonzero(np.isfinite(best_d))
         if len(row):
             yield pa.record_batch([pa.array(ids[row]), pa.array(best_id[row, column]), pa.array(best_d[row, column])], ["query_id", "vec_id", "score"])
