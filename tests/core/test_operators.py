@@ -124,6 +124,13 @@ def test_extraction(spark):
     assert [r.url for r in extract.urls_of(urls=["a", "b"], session=rows).orderBy("pos").collect()] == ["a", "b"]
 
 
+def test_excerpt_is_the_whole_first_paragraph():
+    first, more = "A long line, of many words. " * 20, "Another line, of more words than that. " * 5
+    page = f"<article><p>{first}</p><p>{more}</p></article>"
+    assert extract.article_of(page)["excerpt"] == first.strip() and len(first) > 300
+    assert extract.article_of('<meta name="description" content="Told.">' + page)["excerpt"] == "Told."
+
+
 def test_rendering(spark):
     hits = spark.createDataFrame([(1, "B", "http://b", "text", "e", "c", None, 12.5), (0, "", "", "", "", "", "2020", 0.25)], "pos long, title string, url string, content string, engine string, category string, publishedDate string, score double")
     want = "## Search: q\n\n**2** results\n\n### 1. [No Title](#) [25.0]\n\nEngine: unknown · Published: 2020\n\n### 2. [B](http://b) [12.5]\n\ntext\n\nEngine: e · Category: c\n\n*Unresponsive: slow*\n\n**Suggestions:** x · y\n"

@@ -122,7 +122,7 @@ def article_of(html: str | None, threshold: int = CHAR_THRESHOLD) -> dict:
     content = _BLANK.sub("\n\n", "\n\n".join(t for at, t, linked in blocks if best is not None and inside(at) and linked < 0.5)).strip()
     if not content:
         return none | {"title": title, "error": "no article"}
-    excerpt = reader.meta.get("description") or content.split("\n\n")[0][:300]
+    excerpt = reader.meta.get("description") or content.split("\n\n")[0]
     return {
         "title": title, "content": content, "excerpt": excerpt, "byline": reader.meta.get("author") or None, "siteName": reader.meta.get("og:site_name") or None,
         "length": len(content), "error": None if len(content) >= threshold else "article too short",
