@@ -1,6 +1,7 @@
 import json
 import random
 
+from trawlix.llm import queries
 from trawlix.llm import tool_calls as tc
 
 SCHEMAS = {"add": {"type": "object", "required": ["a", "b"], "additionalProperties": False, "properties": {"a": {"type": "integer"}, "b": {"type": "number"}}}, "any": {}}
@@ -72,3 +73,20 @@ def test_canonical_and_schema():
 
 def test_empty(spark):
     assert tc.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
+
+
+def test_turns_of_other_roles_are_context(spark, monkeypatch):
+    rows = [(1, 0, "system", "Be brief."), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 4, None, "c"), (1, 4, "tool", "d"), (1, 4, "tool", "d"), (2, 0, "system", None), (None, 0, "system", "e"), (3, None, "system", "f")]
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = queries.op9_tool_calls(spark, "").orderBy("conv_id", "position").collect()
+    assert [(r.conv_id, r.position, r.call_id, r.name, r.depth, r.turn, r.copies, r.status) for r in got] == [
+        (1, 1, "c1", "reply", 0, 1, 1, "linked"), (1, 2, "t0-system", "system", None, 0, 1, "context"), (1, 3, "t4-", None, None, 4, 1, "context"), (1, 4, "t4-tool", "tool", None, 4, 2, "context"),
+        (2, 1, "t0-system", "system", None, 0, 1, "context"),
+    ]
+    assert [r.json for r in got[1:]] == ['{"content":"Be brief.","id":"t0-system","role":"system"}', '{"content":"c","id":"t4-","role":null}', '{"content":"d","id":"t4-tool","role":"tool"}', '{"content":null,"id":"t0-system","role":"system"}']
+
+
+def test_context_may_have_the_id_of_a_call(spark):
+    calls, context = [(1, "k", None, 1, "any", "1")], [(1, "k", 0, "system", "x")]
+    got = tc.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS, spark.createDataFrame(context, "conv_id long, call_id string, turn long, role string, content string")).collect()
+    assert sorted((r.position, r.status) for r in got) == [(1, "unanswered"), (2, "context")]

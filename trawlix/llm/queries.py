@@ -72,7 +72,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-#: The tool of the chat query: each user turn asks it, the next assistant turn is its result.
+#: The tool of the chat query: each user turn asks it, the next assistant turn is its result; turns of other roles are context.
 CHAT_SCHEMAS = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}}}
 
 
@@ -82,7 +82,9 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
     calls = turns.where("role = 'user'").select("conv_id", name(0).alias("call_id"), name(2).alias("parent"), "turn", F.lit("reply").alias("name"), asked.alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return tool_calls.link(calls, results, CHAT_SCHEMAS)
+    other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    context = turns.where(other).select("conv_id", F.concat(F.lit("t"), "turn", F.lit("-"), F.coalesce("role", F.lit(""))).alias("call_id"), "turn", "role", F.col("text").alias("content"))
+    return tool_calls.link(calls, results, CHAT_SCHEMAS, context)
 
 
 OP5_SQL = r"""

@@ -14,8 +14,10 @@ Defined cases: repeated calls or results of one id count as one, the least by
 call has status ``orphan``; a call without a result ``unanswered``; arguments that
 are null, no JSON object or break the schema give ``invalid`` with the reasons; a
 reference to no call makes a root; calls on a cycle of references have depth null,
-status ``cyclic`` and come last. Rows with a null conv_id or call_id are linked
-to nothing: they are left out, as no id can be written for them.
+status ``cyclic`` and come last. Turns that are neither call nor result may be given
+as context: rows of status ``context`` with their role as name, which come last, as
+all without a depth. Rows with a null conv_id or call_id are linked to nothing: they
+are left out, as no id can be written for them.
 """
 
 from __future__ import annotations
@@ -82,6 +84,8 @@ def _written(schemas: dict[str, dict]):
                     value, wrong = checked(r["name"], r["arguments"], schemas)
                     state = "cyclic" if r["cyclic"] else "invalid" if wrong else "unanswered" if not r["answered"] else "linked"
                     line = {"arguments": value, "depth": r["depth"], "id": r["call_id"], "name": r["name"], "parent": r["parent"], "result": r["content"], "valid": not wrong}
+                elif r["is_context"]:
+                    wrong, state, line = [], "context", {"content": r["content"], "id": r["call_id"], "role": r["name"]}
                 else:
                     wrong, state, line = [], "orphan", {"id": r["call_id"], "result": r["content"]}
                 out.append(canonical(line))
@@ -111,12 +115,13 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per result without a call.
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], context: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result without a call and per row of context.
 
     calls: conv_id, call_id, parent, turn, name, arguments (JSON text); results:
-    conv_id, call_id, turn, content. Returns conv_id, position (from 1), call_id,
-    name, depth, turn, copies, status, errors, json.
+    conv_id, call_id, turn, content; context: conv_id, call_id, turn, role, content.
+    Returns conv_id, position (from 1), call_id, name, depth, turn, copies, status,
+    errors, json.
     """
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     least = F.min(F.struct("turn", "arguments", "name", "parent"))
@@ -128,12 +133,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     rows = joined.select(
         "conv_id", "call_id", "name", "arguments", "parent", "content", "depth", F.coalesce("turn", "result_turn").alias("turn"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
         F.coalesce("is_call", F.lit(False)).alias("is_call"), F.coalesce("answered", F.lit(False)).alias("answered"), (F.col("is_call") & F.col("depth").isNull()).alias("cyclic"),
+        F.lit(False).alias("is_context"),
     )
+    if context is not None:
+        one = context.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content", "role")).alias("x"), F.count("*").alias("copies")).select("conv_id", "call_id", "x.*", "copies")
+        rows = rows.unionByName(one.withColumnRenamed("role", "name").withColumn("is_context", F.lit(True)), allowMissingColumns=True)
     conv, call = (calls.schema[c].dataType.simpleString() for c in ("conv_id", "call_id"))
     written = cut(rows.mapInArrow(_written(schemas), f"conv_id {conv}, call_id {call}, name string, depth long, turn long, copies long, status string, errors array<string>, json string"))
+    # A row of context may have the id of a call.
+    written = written.withColumn("_context", F.col("status") == "context")
     late = F.coalesce("depth", F.lit(2**62))
-    through = prefix_sums(written.select("conv_id", "call_id", late.alias("_late"), "turn"), [F.col("conv_id"), F.col("_late"), F.coalesce("turn", F.lit(2**62)), F.col("call_id")], {"_at": F.lit(1)})
+    through = prefix_sums(written.select("conv_id", "call_id", "_context", late.alias("_late"), "turn"), [F.col("conv_id"), F.col("_late"), F.col("_context"), F.coalesce("turn", F.lit(2**62)), F.col("call_id")], {"_at": F.lit(1)})
     sizes = written.groupBy("conv_id").agg(F.count("*").alias("_n"))
     starts = prefix_sums(sizes, [F.col("conv_id")], {"_through": F.col("_n")}).select("conv_id", (F.col("_through") - F.col("_n")).alias("_before"))
-    placed = through.select("conv_id", "call_id", "_at").join(starts, "conv_id").select("conv_id", "call_id", (F.col("_at") - F.col("_before")).alias("position"))
-    return written.join(placed, ["conv_id", "call_id"]).select("conv_id", "position", "call_id", "name", "depth", "turn", "copies", "status", "errors", "json")
+    placed = through.select("conv_id", "call_id", "_context", "_at").join(starts, "conv_id").select("conv_id", "call_id", "_context", (F.col("_at") - F.col("_before")).alias("position"))
+    return written.join(placed, ["conv_id", "call_id", "_context"]).select("conv_id", "position", "call_id", "name", "depth", "turn", "copies", "status", "errors", "json")
