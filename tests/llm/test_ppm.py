@@ -54,11 +54,12 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, score string, held_out int")
 
 
-@pytest.mark.parametrize("block_bytes", [ppm.BLOCK_BYTES, 6000])
-def test_matches_plain_ppm(spark, block_bytes):
+@pytest.mark.parametrize("group_bytes, slots, split", [(ppm.GROUP_BYTES, None, ppm.SPLIT), (30, 3, 0.1), (1, 50, 0.5)])
+def test_matches_plain_ppm(spark, monkeypatch, group_bytes, slots, split):
+    monkeypatch.setattr(ppm, "SPLIT", split)
     held = [3, 5, 8]
     df = docs(spark, TEXTS)
-    got = {r.doc_id: r for r in ppm.score_documents(df, F.col("doc_id").isin(held), block_bytes).collect()}
+    got = {r.doc_id: r for r in ppm.score_documents(df, F.col("doc_id").isin(held), group_bytes, slots).collect()}
     want = plain_ppm([t for i, t in enumerate(TEXTS) if i not in held], TEXTS)
     assert len(got) == len(TEXTS)
     for i, (n_tokens, n_known, n, base, score) in enumerate(want):
@@ -68,7 +69,7 @@ def test_matches_plain_ppm(spark, block_bytes):
 
 
 def test_probabilities_sum_to_one():
-    packed = ppm.Packed([t.encode() for t in TEXTS if t])
+    packed = ppm.Packed([ppm.canonical(t.encode()) for t in TEXTS if t])
     keys, pad = packed.grams(ppm.ORDER, packed.stop)
     k, n = ppm.summed(keys[~pad])
     low, m = ppm.summed(k & np.uint64(0xFFFF), n)
@@ -84,8 +85,20 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     assert ppm.score_documents(docs(spark, ["a"]).limit(0), F.lit(False)).count() == 0
 
 
+def test_repeated_rows_and_null_ids_each_get_a_row(spark):
+    texts = ["a cat", "a cat", None, "a cat", "a dog"]
+    df = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (8, texts[4])], "doc_id long, text string")
+    got = sorted((r.score, r.n_tokens) for r in ppm.score_documents(df, F.lit(False), 4, 5).collect())
+    want = sorted((score, n) for n, _, _, _, score in plain_ppm(texts, texts))
+    assert [n for _, n in got] == [n for _, n in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
+
+
+def test_slots_follow_the_root_of_the_size():
+    assert [ppm.slots_for(n) for n in (0, 10**6, 5 * 10**8, 10**14)] == [8, 8, 256, 1 << 14]
+
+
 def test_slices_do_not_change_scores(spark, monkeypatch):
-    packed = ppm.Packed([b"some words that are cut into slices " * 30, b"", b"more"])
+    packed = ppm.Packed([b" ".join([b"some words that are cut into slices"] * 30), b"", b"more"])
     whole = [packed.words(ppm.ORDER, packed.stop)[1]]
     monkeypatch.setattr(ppm, "SLICE", 64)
     parts = [packed.words(a, b)[1] for a, b in packed.slices()]

@@ -8,34 +8,50 @@ spreads the rest evenly over symbols never seen. The code length of a text is
 the sum over its bytes and one end symbol, so scores are log probabilities of
 the whole text: its lower-cased words joined by single spaces, then the end.
 
-Counting: each partition sorts its byte windows and emits distinct windows with
-counts; Spark sums them, so the gathered statistics follow the corpus. Scoring
-needs no shuffle: the summed trie (and the word counts of the baseline) go to
-the workers in blocks of at most ``BLOCK_BYTES``. A trie over that bound is
-split by the last two context bytes and the word counts by hash, and the texts
-are read once per block; the parts of a score are then added up by row.
+No task and no worker ever holds the model. Texts are dealt to groups of about
+``GROUP_BYTES`` where they are read, and kept (checkpointed) with their group's
+number, packed in runs. Each group lists its distinct byte windows and words with their training
+counts, packed (steps of the sorted keys, compressed) by slot: a slot is a hash of a window's last two context bytes, or
+of a word. Counts are merged by slot in two layers, so that a slot with rows of
+very many groups is split. Each slot's table then meets the groups' windows of
+that slot, its rows copied over as many parts as the windows outnumber the table,
+and answers them with log probabilities; the answers meet the texts by group.
+Shuffles follow the input, whatever the size of the model: the texts once and each
+group's distinct windows three times. Only the counts of byte pairs (at most 65,536)
+reach the driver. A task holds one slot's table or one group's answers.
 
 Defined cases: a null or empty text is the end symbol alone; an empty training
-set predicts every symbol by 1/256; repeated rows each get their own row; a null
-doc_id counts as a training row. Words are known by a 64-bit hash.
+set predicts every symbol by 1/256; an empty table gives no rows; repeated rows
+each get their own row, as do rows with equal or null doc_ids (a null doc_id counts
+as a training row); a text of any length is scored whole, and one longer than
+``GROUP_BYTES`` is a group of its own; other columns, of whatever names, are ignored.
+Words are known by a 64-bit hash. There are no ties to settle.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, binary, chunks, cut
 
 ORDER = 5
-#: The largest model table, in bytes, that goes to the workers at once.
-BLOCK_BYTES = 192 << 20
+#: Bytes of text that share one list of windows.
+GROUP_BYTES = 16 << 20
+#: How often a group's windows may outnumber a slot's table before the slot is split.
+SPLIT = 4
+#: Tasks of a shuffle at most; beyond as many groups, a task holds several, one after the other.
+MOST_TASKS = 100_000
+#: Kinds of packed rows: byte windows, words, training documents, listed windows; texts.
+WINDOW, WORD, DOCS, LISTED, TEXT = range(5)
 #: Never occurs in UTF-8: pads contexts before a text and ends it.
 END = 0xFF
 #: Positions scored at once, and distinct windows that a counting task holds before it merges them.
@@ -68,8 +84,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Packed:
     """Canonical texts laid end to end, ORDER end bytes before and after each."""
 
-    def __init__(self, texts: list[bytes]):
-        docs = [canonical(x) for x in texts]
+    def __init__(self, docs: list[bytes]):
         pad = bytes([END]) * ORDER
         self.buf = pad + b"".join(d + pad for d in docs) + b"\xff" * 8
         self.lengths = np.fromiter(map(len, docs), np.int64, len(docs))
@@ -122,33 +137,161 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 class _Tally:
+    """Distinct keys and their summed counts, merged as they come."""
+
     def __init__(self):
         self.parts, self.rows = [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.rows += len(self.parts[-1][0])
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.rows += len(keys)
         if self.rows > HELD and len(self.parts) > 1:
             self.parts = [self.total()]
             self.rows = min(len(self.parts[0][0]), HELD // 2)
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        return summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts])) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts])) if len(self.parts) > 1 else self.parts[0]
+
+
+def _grouped(group_bytes: int):
+    """Rows of doc_id, held_out and text -> runs of them, in the order they are read: their group, ids, marks and packed canonical texts."""
+
+    def run(g: int, part: pa.RecordBatch, docs: list[bytes]) -> pa.RecordBatch:
+        ends = pa.array([0, len(docs)], pa.int32())
+        ids, held = (pa.ListArray.from_arrays(ends, part.column(i)) for i in (0, 1))
+        sizes = pa.ListArray.from_arrays(ends, pa.array([len(d) for d in docs], pa.int64()))
+        return pa.record_batch([pa.array([g], pa.int64()), ids, held, sizes, pa.array([zstandard.compress(b"".join(docs), 1)], pa.binary())], ["g", "ids", "held", "sizes", "text"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for part, texts in chunks(batches):
+            docs = [canonical(t) for t in texts]
+            begin = 0
+            for i, d in enumerate(docs):
+                if size and size + len(d) > group_bytes:
+                    if i > begin:
+                        yield run(number, part.slice(begin, i - begin), docs[begin:i])
+                    number, size, begin = number + 1, 0, i
+                size += len(d) + 1
+            yield run(number, part.slice(begin), docs[begin:])
+
+    return group
+
+
+def _texts(sizes: list[int], packed: bytes) -> list[bytes]:
+    whole, ends = zstandard.decompress(packed), np.cumsum([0, *sizes]).tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _slots(kind: int, keys: np.ndarray, slots: int) -> np.ndarray:
+    mixed = ((keys >> _U(8)) & _U(0xFFFF)) * _MULT >> _U(40) if kind == WINDOW else keys
+    return (mixed % _U(slots)).astype(np.int64)
+
 
+PACKED = "kind int, slot int, g long, keys binary, counts binary"
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, words, docs = _Tally(), _Tally(), 0
-    for _, texts in chunks(batches):
-        packed = Packed(texts)
-        docs += len(texts)
-        for a, b in packed.slices(2 * SLICE):
-            keys, padding = packed.grams(a, b)
-            grams.add(keys[~padding])
-            words.add(packed.words(a, b)[1])
-    for kind, (keys, counts) in ((0, grams.total()), (1, words.total()), (2, (np.zeros(1, np.uint64), np.array([docs])))):
-        for at in range(0, len(keys), 200_000):
-            k = keys[at : at + 200_000]
-            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(counts[at : at + 200_000].astype(np.int64))], ["kind", "key", "n"])
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: all first bytes, then all second bytes, and so on."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their steps, which take few bytes each."""
+    return pack(np.diff(keys, prepend=_U(0)))
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def _packed(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    kind, slot, g, keys, counts = zip(*rows, strict=True)
+    return pa.record_batch(
+        [pa.array(kind, pa.int32()), pa.array(slot, pa.int32()), pa.array(g, pa.int64()), pa.array(map(pack_keys, keys), pa.binary()), pa.array(map(pack, counts), pa.binary())],
+        ["kind", "slot", "g", "keys", "counts"],
+    )
+
+
+def _list(slots: int):
+    """Runs of one group after the other -> the group's packed windows and words, with training counts."""
+
+    def close(g: int, tallies: tuple[_Tally, _Tally], docs: int) -> pa.RecordBatch:
+        rows = []
+        for kind, tally in zip((WINDOW, WORD), tallies, strict=True):
+            keys, counts = tally.total()
+            slot = _slots(kind, keys, slots)
+            order = np.argsort(slot, kind="stable")
+            keys, counts, slot = keys[order], counts[order].astype(np.int64), slot[order]
+            bounds = np.flatnonzero(np.diff(slot)) + 1
+            for k, c, at in zip(np.split(keys, bounds), np.split(counts, bounds), np.concatenate([[0], bounds]), strict=True):
+                if len(k):
+                    rows.append((kind, int(slot[at]), g, k, c))
+            if kind == WINDOW:
+                rows.append((LISTED, 0, g, np.zeros(1, np.uint64), np.array([len(keys)])))
+        rows.append((DOCS, 0, g, np.zeros(1, np.uint64), np.array([docs])))
+        return _packed(rows)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tallies, docs = None, (_Tally(), _Tally()), 0
+        for batch in batches:
+            for g, held, sizes, packed_texts in zip(*(batch.column(i) for i in range(4)), strict=True):
+                g = g.as_py()
+                if now is not None and g != now:
+                    yield close(now, tallies, docs)
+                    tallies, docs = (_Tally(), _Tally()), 0
+                now = g
+                held, texts = held.as_py(), _texts(sizes.as_py(), packed_texts.as_buffer())
+                for learn in (True, False):
+                    mine = [t for t, h in zip(texts, held, strict=True) if bool(h) != learn]
+                    if not mine:
+                        continue
+                    docs += learn * len(mine)
+                    packed = Packed(mine)
+                    for a, b in packed.slices(2 * SLICE):
+                        keys, padding = packed.grams(a, b)
+                        for tally, found in zip(tallies, (keys[~padding], packed.words(a, b)[1]), strict=True):
+                            distinct, counts = np.unique(found, return_counts=True)
+                            tally.add(distinct, counts * learn)
+        if now is not None:
+            yield close(now, tallies, docs)
+
+    return listed
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows sorted by kind and slot -> one row each, of keys that occur in training."""
+    now, tally = None, _Tally()
+    for batch in batches:
+        kinds, slots, packed_keys, packed_counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
+        for i, here in enumerate(zip(kinds, slots, strict=True)):
+            if here != now:
+                if now is not None:
+                    yield _packed([(*now, -1, *tally.total())])
+                now, tally = here, _Tally()
+            counts = unpack(packed_counts[i].as_buffer(), np.int64)
+            seen = counts > 0
+            tally.add(unpack_keys(packed_keys[i].as_buffer())[seen], counts[seen])
+    if now is not None:
+        yield _packed([(*now, -1, *tally.total())])
+
+
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed windows -> counts of their last two bytes."""
+    totals = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for k, c in zip(batch.column(0), batch.column(1), strict=True):
+            np.add.at(totals, (unpack_keys(k.as_buffer()) & _U(0xFFFF)).astype(np.int64), unpack(c.as_buffer(), np.int64))
+    pairs = np.flatnonzero(totals)
+    yield pa.record_batch([pa.array(pairs), pa.array(totals[pairs])], ["pair", "n"])
 
 
 class Index:
@@ -261,89 +404,119 @@ class Trie:
         return out
 
 
-_loaded: dict[str, tuple] = {}
-
-
-def _load(shared) -> tuple:
-    """The trie, word index, word counts and totals of a broadcast model, built once a worker.
-
-    The broadcast arrays are let go once the tables stand; if they are needed again,
-    the worker reads them from its file.
-    """
-    if shared.id not in _loaded:
-        _loaded.clear()
-        model = shared.value
-        model = dict(model)
-        vars(shared.handle).pop("_value", None)
-        trie = Trie(*model.pop("trie"))
-        keys, counts = model.pop("words")
-        words = Index(keys)
-        del keys
-        counts = np.append(counts[words.order], 0)
-        words.order = None
-        _loaded[shared.id] = (trie, words, counts, model)
-    return _loaded[shared.id]
-
-
-class _Shared:
-    """A broadcast with an id of its own."""
-
-    def __init__(self, handle):
-        self.handle, self.id = handle, uuid.uuid4().hex
-
-    @property
-    def value(self) -> dict:
-        return self.handle.value
-
+def _answer(shared):
+    """Rows sorted by kind, slot and group, each slot's table (g: -1) first -> values of each group's keys."""
 
-def _block_of(context: np.ndarray, blocks: int) -> np.ndarray:
-    return ((context * _MULT) >> _U(40)) % _U(blocks)
+    def values(kind: int, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, low: tuple[np.ndarray, np.ndarray], built: list) -> np.ndarray:
+        if kind == WINDOW:
+            if not built:
+                built.append(Trie(*table, *low))
+            return built[0].logs(keys).astype(np.float32)
+        if not len(table[0]):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return np.where(table[0][at] == keys, table[1][at], 0).astype(np.float64)
 
-
-def _scorer(shared, block: int, blocks: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words, word_counts, model = _load(shared)
-        n, v = model["tokens"], model["distinct"]
-        floor = n + 0.5 * (v + 1)
-        for part, texts in chunks(batches):
-            packed = Packed(texts)
-            score, base, known = (np.zeros(len(texts)) for _ in range(3))
-            n_words = np.zeros(len(texts), np.int64)
-            for a, b in packed.slices():
-                keys, padding = packed.grams(a, b)
-                if blocks > 1:
-                    mine = np.flatnonzero(~padding & (_block_of((keys >> _U(8)) & _U(0xFFFF), blocks) == block))
-                    logs = np.zeros(b - a)
-                    logs[mine] = trie.logs(keys[mine])
-                else:
-                    logs = trie.logs(keys)
-                    logs[padding] = 0.0
-                d0 = max(0, int(np.searchsorted(packed.starts, a, side="right")) - 1)
-                d1 = int(np.searchsorted(packed.starts, b))
-                bounds = np.maximum(packed.starts[d0:d1], a) - a
-                score[d0:d1] += np.add.reduceat(logs, bounds)
-                starts, hashes = packed.words(a, b)
-                doc = np.searchsorted(packed.starts, starts, side="right") - 1
-                n_words += np.bincount(doc, minlength=len(texts))
-                if blocks > 1:
-                    mine = hashes % _U(blocks) == block
-                    hashes, doc = hashes[mine], doc[mine]
-                at, hit = words.find(hashes)
-                count = np.where(hit, word_counts[at], 0)
-                base += np.bincount(doc, np.log10((count + 0.5) / floor), len(texts))
-                known += np.bincount(doc, count > 0, len(texts))
-            if block == 0:  # the end token
-                base += np.log10((model["docs"] + 0.5) / floor)
-                known += model["docs"] > 0
-            yield pa.record_batch(
-                [part.column(0), part.column(1), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(score / np.log(10.0))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return score
-
-
-def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = shared.value
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        now, table, built = None, none, []
+        for batch in batches:
+            kinds, slots, groups = (batch.column(i).to_pylist() for i in range(3))
+            packed_keys, packed_counts = batch.column(3), batch.column(4)
+            at, out = 0, []
+            while at < len(kinds):
+                here = kinds[at], slots[at]
+                if here != now:
+                    now, table, built = here, none, []
+                if groups[at] == -1:
+                    table, built = (unpack_keys(packed_keys[at].as_buffer()), unpack(packed_counts[at].as_buffer(), np.int64)), []
+                    at += 1
+                    continue
+                to = at
+                while to < len(kinds) and (kinds[to], slots[to]) == here and groups[to] != -1:
+                    to += 1
+                keys = [unpack_keys(packed_keys[i].as_buffer()) for i in range(at, to)]
+                found = values(here[0], table, np.concatenate(keys), low, built)
+                parts = np.split(found, np.cumsum([len(k) for k in keys])[:-1])
+                out += [(groups[at + i], here[0], packed_keys[at + i].as_py(), pack(parts[i])) for i in range(to - at)]
+                at = to
+            if out:
+                g, kind, k, v = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["g", "kind", "text", "counts"])
+
+    return answer
+
+
+class _Answers:
+    """The values of one group's keys of one kind."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], kind: type):
+        self.index = Index(np.concatenate([unpack_keys(k) for k, _ in rows] or [np.zeros(0, np.uint64)]))
+        self.values = np.append(np.concatenate([unpack(v, kind) for _, v in rows] or [np.zeros(0, kind)])[self.index.order], kind(0))
+        self.index.order = None
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at, hit = self.index.find(keys)
+        if not hit.all():
+            raise RuntimeError("a text's windows and its group's list differ")
+        return self.values[at]
+
+
+def _score(docs: list[bytes], logs: _Answers, counts: _Answers) -> tuple[np.ndarray, ...]:
+    """Per text: words, known words, sum of log10(count + 0.5) over words, natural log probability."""
+    packed = Packed(docs)
+    score, base, known = (np.zeros(len(docs)) for _ in range(3))
+    n_words = np.zeros(len(docs), np.int64)
+    for a, b in packed.slices():
+        keys, padding = packed.grams(a, b)
+        found = np.zeros(b - a)
+        found[~padding] = logs.of(keys[~padding])
+        d0 = max(0, int(np.searchsorted(packed.starts, a, side="right")) - 1)
+        d1 = int(np.searchsorted(packed.starts, b))
+        score[d0:d1] += np.add.reduceat(found, np.maximum(packed.starts[d0:d1], a) - a)
+        starts, hashes = packed.words(a, b)
+        doc = np.searchsorted(packed.starts, starts, side="right") - 1
+        n_words += np.bincount(doc, minlength=len(docs))
+        n = counts.of(hashes)
+        base += np.bincount(doc, np.log10(n + 0.5), len(docs))
+        known += np.bincount(doc, n > 0, len(docs))
+    return n_words, known, base, score
+
+
+def _finish(tokens: int, distinct: int, docs: int):
+    """Rows sorted by group and kind (answers, then texts) -> scores."""
+    floor = tokens + 0.5 * (distinct + 1)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, answers = None, {WINDOW: [], WORD: []}, None
+        for batch in batches:
+            packed, values = batch.column(5), batch.column(6)
+            for i, (g, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if g != now:
+                    now, rows, answers = g, {WINDOW: [], WORD: []}, None
+                if kind != TEXT:
+                    rows[kind].append((packed[i].as_py(), values[i].as_py()))
+                    continue
+                if answers is None:
+                    answers = _Answers(rows[WINDOW], np.float32), _Answers(rows[WORD], np.float64)
+                    rows = {WINDOW: [], WORD: []}
+                n_words, known, base, score = _score(_texts(batch.column(4)[i].as_py(), packed[i].as_buffer()), *answers)
+                base += np.log10(docs + 0.5) - (n_words + 1) * np.log10(floor)
+                yield pa.record_batch(
+                    [batch.column(2).slice(i, 1).flatten(), batch.column(3).slice(i, 1).flatten(), pa.array(n_words + 1), pa.array((known + (docs > 0)).astype(np.int64)), pa.array(np.full(len(n_words), tokens, np.int64)), pa.array(base), pa.array(score / np.log(10.0))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return finish
+
+
+def slots_for(size: int) -> int:
+    """Slots for so many bytes of text: a power of two that grows with their root, from 8 to 16,384."""
+    return min(1 << 14, max(8, 1 << math.ceil(math.log2(max(1.0, math.sqrt(size) / 128)))))
+
+
+def score_documents(docs: DataFrame, held_out: Column, group_bytes: int = GROUP_BYTES, slots: int | None = None) -> DataFrame:
     """Score every text by PPM and by the add-half unigram baseline.
 
     docs: doc_id, text and any others, which are ignored. held_out: boolean, rows
@@ -351,54 +524,39 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
     base_score, score.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = binary(rows.where(~F.col("held_out")), "doc_id").mapInArrow(_count, "kind int, key long, n long")
-    counts = cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    sizes = {r.kind: (r.rows, r.n) for r in counts.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
-    train_docs = int(sizes.get(2, (0, 0))[1])
-    n_grams, (n_words, words_total) = sizes.get(0, (0, 0))[0], sizes.get(1, (0, 0))
-    blocks = max(1, -(-(n_grams * 64 + n_words * 24) // block_bytes))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    if slots is None:
+        slots = slots_for(int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+    texts = cut(binary(rows, "doc_id", "held_out").mapInArrow(_grouped(group_bytes), f"g long, ids array<{id_type}>, held array<boolean>, sizes array<bigint>, text binary"))
+    lists = cut(texts.select("g", "held", "sizes", "text").mapInArrow(_list(slots), PACKED))
+    groups = lists.where(F.col("kind") == DOCS).count()
+    # As many tasks as groups, so that a task's share does not grow with the input.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_TASKS))
+    # Two layers of about the root of the number of groups each.
+    salt = F.pmod(F.xxhash64("g"), F.lit(max(1, math.isqrt(groups))))
+    merged = lists.repartition(n, "kind", "slot", salt).sortWithinPartitions("kind", "slot").mapInArrow(_merge, PACKED)
+    tables = cut(merged.repartition(n, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(_merge, PACKED))
     # At most 65,536 pairs of bytes.
-    low = counts.where("kind = 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    low_pair = (low["key"].to_numpy().view(np.uint64), low["n"].to_numpy())
-    source = rows if blocks == 1 else rows.withColumn("_row", F.monotonically_increasing_id())
-    parts = []
-    for block in range(blocks):
-        grams, words = counts.where("kind = 0"), counts.where("kind = 1")
-        if blocks > 1:
-            grams = grams.mapInArrow(_only(block, blocks, True), "kind int, key long, n long")
-            words = words.mapInArrow(_only(block, blocks, False), "kind int, key long, n long")
-        g, w = grams.select("key", "n").toArrow(), words.select("key", "n").toArrow()
-        as_keys = lambda t: t["key"].to_numpy().view(np.uint64)
-        model = {
-            "trie": (as_keys(g), g["n"].to_numpy(), *low_pair), "words": (as_keys(w), w["n"].to_numpy()),
-            "tokens": int(words_total or 0) + train_docs, "distinct": n_words + (train_docs > 0), "docs": train_docs,
-        }
-        shared = _Shared(spark.sparkContext.broadcast(model))
-        del g, w, model
-        key = "doc_id" if blocks == 1 else "_row"
-        key_type = id_type if blocks == 1 else "long"
-        schema = f"doc_id {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        scored = binary(source.withColumn("doc_id", F.col(key)), "doc_id", "held_out").mapInArrow(_scorer(shared, block, blocks), schema)
-        parts.append(scored if blocks == 1 else cut(scored))
-    if blocks == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.groupBy("doc_id").agg(
-        F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.first("train_tokens").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
-    )
-    ids = source.select(F.col("_row").alias("_key"), F.col("doc_id").alias("_id"))
-    return whole.join(ids, whole.doc_id == ids._key).select(F.col("_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _only(block: int, blocks: int, by_context: bool):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            group = _block_of((keys >> _U(8)) & _U(0xFFFF), blocks) if by_context else keys % _U(blocks)
-            yield batch.filter(pa.array(group == block))
-
-    return keep
+    low = tables.where(F.col("kind") == WINDOW).select("keys", "counts").mapInArrow(_low, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    sums = tables.select("kind", "counts").mapInArrow(_sums, "kind int, keys long, total long").groupBy("kind").agg(F.sum("keys").alias("keys"), F.sum("total").alias("total"))
+    size = {r.kind: (r["keys"], r.total) for r in sums.collect()}
+    train_docs, listed = (int(size.get(k, (0, 0))[1]) for k in (DOCS, LISTED))
+    (windows, _), (words, word_total) = (size.get(k, (0, 0)) for k in (WINDOW, WORD))
+    parts = max(1, math.ceil(listed / (SPLIT * max(1, windows))))
+    shared = spark.sparkContext.broadcast((low["pair"].to_numpy().astype(np.uint64), low["n"].to_numpy()))
+    questions = lists.where(F.col("kind") <= WORD).withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int")).withColumn("counts", F.lit(None).cast("binary"))
+    copies = tables.where(F.col("kind") <= WORD).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = copies.unionByName(questions).repartition(n, "kind", "slot", "part").sortWithinPartitions("kind", "slot", "part", "g")
+    answers = met.drop("part").mapInArrow(_answer(shared), "g long, kind int, text binary, counts binary")
+    both = answers.unionByName(texts.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True).select("g", "kind", "ids", "held", "sizes", "text", "counts")
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    finish = _finish(int(word_total) + train_docs, int(words) + (train_docs > 0), train_docs)
+    return both.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(finish, schema)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows -> their numbers of keys and summed counts."""
+    for batch in batches:
+        counts = [unpack(c.as_buffer(), np.int64) for c in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array([len(c) for c in counts], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64())], ["kind", "keys", "total"])
