@@ -28,6 +28,53 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert by[(1003, "é")] != "und" and by[(1004, rows[-2][1])] == "de"
 
 
+def plain_features(text):
+    line = " ".join("".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in text.translate({b: b + 32 for b in range(65, 91)})).split())
+    raw = f" {line} ".encode()
+    counts = np.zeros(language.BUCKETS)
+    for n in (1, 2, 3):
+        for at in range(len(raw) - n + 1):
+            code = sum(int(language._CODES[j][raw[at + j]]) for j in range(n))
+            counts[((code * 0x9E3779B1) >> 20) % language.BUCKETS] += 1
+    return np.sqrt(counts) / np.sqrt(counts.sum())
+
+
+def plain_decode(model, x):
+    bits = [sum(float(a) * float(b) for a, b in zip(x, w, strict=True)) + bias for w, bias in zip(model["weights"].T, model["bias"], strict=True)]
+    loss = [sum(t * np.log1p(np.exp(-language.SHARPNESS * b * w)) for t, b, w in zip(trust, bits, word, strict=True)) for trust, word in zip(model["trust"], model["code"], strict=True)]
+    share = [np.exp(-language.SHARPNESS * (v - min(loss))) for v in loss]
+    return model["languages"][int(np.argmin(loss))], max(share) / sum(share)
+
+
+TEXTS = ["the cat sat", "Zebra crossing", "", "a", "été 12 là-bas", "xylophone " * 300, "the cat sat", "日本 の は"]
+
+
+def test_features_are_those_of_the_text_alone():
+    together = language.features([t.encode() for t in TEXTS])
+    for t, row in zip(TEXTS, together, strict=True):
+        assert np.array_equal(language.features([t.encode()])[0], row)
+        assert np.allclose(plain_features(t), row, atol=1e-6)
+
+
+def test_against_plain_decoding_under_any_order(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, lang, rng.randint(1, 30)), lang) for i, lang in enumerate(sorted(SYLLABLES) * 20)]
+    schema = "doc_id long, text string, lang string"
+    learn = F.col("doc_id") % 4 != 2
+    got = [{r.doc_id: (r.lang_pred, r.score, r.ambiguous) for r in language.identify(spark.createDataFrame(x, schema).repartition(n), learn, ["doc_id"]).collect()} for x, n in ((rows, 1), (rows[::-1], 1), (rows, 7))]
+    assert got[0] == got[1] == got[2]
+    model = language.train(spark.createDataFrame(rows, schema), learn)
+    for i, t, _ in rows[:30]:
+        name, score = plain_decode(model, plain_features(t))
+        assert got[0][i][0] == name and abs(got[0][i][1] - score) < 1e-4
+
+
+def test_languages_that_tie():
+    model = {"languages": ["aa", "bb"], "code": language.codewords(2), "weights": np.zeros((language.BUCKETS, 1)), "bias": np.zeros(1), "trust": np.ones((2, 1))}
+    best, score, lead = language.decode(model, language.features([b"x"]))
+    assert (best[0], score[0], lead[0]) == (0, 0.5, 0.0)
+
+
 def test_nothing_learned_and_one_language(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "a", "xx")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language.identify(df, F.lit(False), ["doc_id"]).collect()} == {"und"}

@@ -13,7 +13,13 @@ many by least distance. Classifiers are ridge regressions on at most
 doc_id and text. N-grams are counted over whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with
-no labelled text all are ``und``; with one language all texts with letters get it.
+no labelled text all are ``und``; with one language all texts with letters get it;
+of languages that tie the first by code point wins, and the text is ambiguous. A
+text's result depends on no other row of its table beyond the fit: repeated rows are
+predicted alike, rows with null or equal doc_ids each get a row, a text of any length
+is read whole (its memory follows its length), and an empty table gives no rows. A
+null lang is not learned from. Other columns are ignored, whatever their names; of
+the columns to keep none may be named lang_pred, score or ambiguous.
 """
 
 from __future__ import annotations
@@ -61,13 +67,15 @@ def features(texts: list[bytes]) -> np.ndarray:
             size += len(cleaned[to])
             to += 1
         raw = np.frombuffer(b"".join(cleaned[at:to]), np.uint8)
-        base = np.repeat(np.arange(to - at, dtype=np.int64) * BUCKETS, [len(c) for c in cleaned[at:to]])
+        sizes = np.array([len(c) for c in cleaned[at:to]])
+        base = np.repeat(np.arange(to - at, dtype=np.int64) * BUCKETS, sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))  # bytes from here to the text's end
         counts = np.zeros((to - at) * BUCKETS, np.float32)
         code = np.zeros(len(raw), np.int64)
         for n in range(3):
-            # Grams that run over the end of a text count to the text they start in.
             code[: len(raw) - n] += _CODES[n][raw[n:]]
-            counts += np.bincount(base + ((code * 0x9E3779B1) >> 20) % BUCKETS, minlength=len(counts))
+            inside = np.flatnonzero(left > n)
+            counts += np.bincount(base[inside] + ((code[inside] * 0x9E3779B1) >> 20) % BUCKETS, minlength=len(counts))
         out[at:to] = np.sqrt(counts.reshape(-1, BUCKETS))
         at = to
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
@@ -123,7 +131,8 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     bits = x @ model["weights"] + model["bias"]
     loss = np.stack([np.logaddexp(0, -SHARPNESS * bits * word) @ trust for word, trust in zip(model["code"], model["trust"], strict=True)], axis=1)
     p = np.exp(-SHARPNESS * (loss - loss.min(axis=1, keepdims=True)))
-    p /= p.sum(axis=1, keepdims=True)
+    # Rounded, as the last digits of a matrix product depend on the rows beside it.
+    p = np.round(p / p.sum(axis=1, keepdims=True), 9)
     order = np.sort(p, axis=1)
     return p.argmax(axis=1), order[:, -1], order[:, -1] - order[:, -2]
 
