@@ -57,6 +57,39 @@ def test_many_ties_and_a_large_offset(spark):
         assert by == {q: nearest_by_all_pairs(x, q, 10) for q in by}
 
 
+def test_the_ties_of_one_distance_go_by_id(spark):
+    rows = [(i, [float(i == j) for j in range(80)]) for i in range(80)]
+    got = mi.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, probe=1.0, bucket_rows=9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11))
+
+
+def test_one_component_and_ids_of_several_vectors(spark):
+    rows = [(i, [float((i * 37) % 101 + 1)]) for i in range(60)]
+    got = mi.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4, probe=1.0).orderBy("query_id", "rank").collect()
+    x = np.array([r[1] for r in rows])
+    for q in range(0, 60, 10):
+        assert [r.vec_id for r in got if r.query_id == q] == nearest_by_all_pairs(x, q, 4)
+    twice = [(0, [1.0, 1.0]), (1, [5.0, 5.0]), (1, [2.0, 2.0]), (1, [5.0, 5.0]), (2, [9.0, 9.0])]
+    ways = [mi.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(n), F.lit(True)).orderBy("query_id", "rank").collect() for x, n in ((twice, 1), (twice[::-1], 3))]
+    assert ways[0] == ways[1] and [(r.query_id, r["rank"]) for r in ways[0]] == [(q, n) for q in (0, 1, 2) for n in (1, 2)]
+
+
+def test_buckets_hold_all_cells_in_bounds():
+    counts = np.array([3, 0, 4, 9, 1, 25, 2])
+    b = mi.Buckets(counts, 10)
+    assert b.parts.tolist() == [1, 1, 1, 1, 1, 3, 1] and b.total == len({int(f) + i for f, n, c in zip(b.first, b.parts, counts, strict=True) if c for i in range(n)})
+    whole = {int(f) for f, n in zip(b.first, b.parts, strict=True) if n == 1}
+    assert all(sum(int(c) for f, n, c in zip(b.first, b.parts, counts, strict=True) if n == 1 and f == w) <= 10 for w in whole)
+
+
+def test_share_follows_the_structure():
+    rng = np.random.default_rng(9)
+    loose = rng.standard_normal((1500, 16))
+    tight = rng.standard_normal((12, 16))[rng.integers(0, 12, 1500)] * 8 + rng.standard_normal((1500, 16)) * 0.1
+    shares = [mi.needed_share(x, (mi.fit_centroids(x[:, :8], 16), mi.fit_centroids(x[:, 8:], 16)), 10) for x in (loose, tight)]
+    assert shares[1] < 0.2 < shares[0] <= 1
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in mi.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 5, 2.0)]
