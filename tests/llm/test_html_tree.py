@@ -1,4 +1,6 @@
 import itertools
+import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -21,10 +23,11 @@ def test_marginals_match_enumeration():
     forest = h.Forest(pages)
     weights, edges = rng.standard_normal(len(h.FEATURES)), rng.standard_normal((h.EDGES, 2, 2))
     got, joint = forest.marginals(weights, edges, want_edges=True)
-    n, unary = len(forest.parent), forest.x @ weights
+    n, unary = len(forest.parent), forest.unary(weights)
+    whole = np.concatenate([edges, h.EQUAL[None]])
     total, ones, pairs = 0.0, np.zeros(n), np.zeros((n, 2, 2))
     for labels in itertools.product((0, 1), repeat=n):
-        s = sum(unary[i] for i in range(n) if labels[i]) + sum(edges[forest.edge[i], labels[p], labels[i]] for i, p in enumerate(forest.parent) if p >= 0)
+        s = sum(unary[i] for i in range(n) if labels[i]) + sum(whole[forest.edge[i], labels[p], labels[i]] for i, p in enumerate(forest.parent) if p >= 0)
         w = np.exp(s)
         total += w
         ones += w * np.array(labels)
@@ -79,6 +82,36 @@ def test_head_without_its_end_tag():
     assert h.main_texts([x + line for x in starts], h.train()) == ["A title here\nA line of text after it."] * len(starts)
 
 
+def test_deep_pages_and_unmatched_end_tags_take_linear_time():
+    h.train()
+    began = time.perf_counter()
+    many = "<article>" + "<div>" * 20_000 + "<p>deep words that stay here.</p>" + "</section></li>" * 20_000 + "<ul><li><dl>" + "<li></li>" * 20_000 + "</article>"
+    assert h.main_texts([many], h.train())[0].startswith("deep words that stay here.")
+    assert time.perf_counter() - began < 2
+
+
+def test_a_narrow_level_is_worked_on_as_a_wide_one(monkeypatch):
+    pages = [h.Page(x) for x in ["<article><div class=ad><p>a b c</div><p>Some text.", "<nav><ul><li><a>x</a><li>y</ul></nav><p>z"]]
+    narrow = h.Forest(pages).marginals(*h.train())
+    monkeypatch.setattr(h, "NARROW", 0)
+    assert np.allclose(narrow, h.Forest(pages).marginals(*h.train()))
+
+
+def test_a_long_page_of_tags_in_bounded_memory():
+    tracemalloc.start()
+    page = "<article>" + "<p>a<b>c</b>" * 440_000 + "</article>"
+    assert len(page) > 5_000_000 and h.main_texts([page], h.train())[0].count("\n") == 439_999
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_forests_of_any_size_give_the_same(monkeypatch):
+    pages = [x.replace(h.MARK, "") for x in h.labelled_pages(30, 5)]
+    whole = h.main_texts(pages, h.train())
+    monkeypatch.setattr(h, "FOREST_NODES", 40)
+    assert h.main_texts(pages, h.train()) == whole
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<a href=x>", "</a>", "text & ", "<", ">", '"', "<!--", "-->", "<ul><li>", "</ul>", "<table><tr><td>", "&#x41;", "<script>", "</script>", "<body>", "</html>", "é"]), max_size=40))
 def test_any_markup(parts):

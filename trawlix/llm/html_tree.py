@@ -3,7 +3,8 @@
 A page becomes a tree of its block elements and text blocks. Every node is content
 or not. Node potentials are linear in features of the node (its tag's kind, words
 of its class, id and role, the length and link share of its text); edge potentials
-say how a node's label goes with its parent's. Messages are summed upward and then
+say how a node's label goes with its parent's; an element is content if something
+below it is, so an only child's label is its parent's. Messages are summed upward and then
 downward, which gives each node's exact marginal; text blocks over one half are
 the page's text.
 
@@ -13,15 +14,20 @@ tables have no labelled ones. Pages of a chunk are one forest, so that messages
 of one depth move together.
 
 Defined cases: null and empty html give an empty text; unclosed, misnested and
-unknown tags, comments and cut-off markup never fail; elements deeper than
-``MAX_DEPTH`` hang from that depth, with their text kept; repeated rows get the
-same result. Scripts, styles, templates and the head never hold text.
+unknown tags, comments and cut-off markup never fail, at any depth; repeated rows get
+the same result, and an empty table gives no rows. A page of any length is read whole:
+its nodes are kept as arrays, about 100 bytes each, and a tag costs the same however
+deep the page is there. Scripts, styles, templates and the head never hold text. A text
+block of exactly one half is left out. Other columns are ignored, whatever their names;
+of the columns to keep none may be named text or n_chars.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -32,7 +38,10 @@ from pyspark.sql import DataFrame
 
 from .common import binary, chunks
 
-MAX_DEPTH = 200
+#: Nodes of one forest, and pages, at most (or one larger page).
+FOREST_NODES, FOREST_PAGES = 200_000, 200
+#: Levels of so few nodes are worked on node by node.
+NARROW = 3
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -59,8 +68,11 @@ BAD_WORDS = {
 }
 FEATURES = [*dict.fromkeys(KINDS.values()), "good_word", "bad_word", "leaf", "leaf_words", "leaf_links", "leaf_short", "leaf_stop", "leaf_in_p", "leaf_in_heading", "leaf_in_item", "leaf_other", "bias"]
 COLUMN = {name: i for i, name in enumerate(FEATURES)}
+NEUTRAL = [COLUMN["div"], COLUMN["section"], COLUMN["bias"]]
 #: Edges by the child: an element, an element with a bad word or of a boilerplate kind, a text block, a header in an article.
 EDGES = 4
+#: An only child is content if and only if its parent is: potentials that are not trained.
+ONLY, EQUAL = EDGES, np.array([[0.0, -40.0], [-40.0, 0.0]])
 APART = {"nav", "aside", "footer", "form", "header", "dialog"}
 
 
@@ -88,25 +100,68 @@ def raw_ends(html: str) -> dict[int, int]:
     return ends
 
 
+class _Open:
+    """The elements that are open: (name, node, kind), with where each name was opened last."""
+
+    def __init__(self, root: int):
+        self.stack = [("html", root, "html")]
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.bounds: list[int] = []  # lists and tables
+        self.articles = 0
+
+    def push(self, name: str, node: int, kind: str) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if kind in ("list", "table") and name != "tr":
+            self.bounds.append(len(self.stack))
+        self.articles += kind in ("article", "main")
+        self.stack.append((name, node, kind))
+
+    def close(self, place: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.stack) > place:
+            name, _, kind = self.stack.pop()
+            self.at[name].pop()
+            if kind in ("list", "table") and name != "tr":
+                self.bounds.pop()
+            self.articles -= kind in ("article", "main")
+
+    def last(self, *names: str) -> int:
+        """Where one of these was opened last; 0 if none is open (but for the root)."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+
 class Page:
-    """Nodes of one page: parent (-1: none), depth, feature columns with values, edge kind; text of text blocks."""
+    """Nodes of one page: parent (-1: none), depth and edge kind; features as (row, column, value); text of text blocks."""
 
-    __slots__ = ("parent", "depth", "features", "edge", "texts")
+    __slots__ = ("parent", "depth", "edge", "rows", "columns", "values", "texts")
 
     def __init__(self, html: str):
-        self.parent, self.depth, self.features, self.edge, self.texts = [], [], [], [], {}
+        self.parent, self.depth, self.edge = array("i"), array("i"), array("b")
+        self.rows, self.columns, self.values = array("i"), array("b"), array("f")
+        self.texts: dict[int, str] = {}
         self._read(html)
+        parents = np.frombuffer(self.parent, np.int32)[1:]
+        only = np.append(False, np.bincount(parents, minlength=1)[parents] == 1)
+        np.frombuffer(self.edge, np.int8)[only] = ONLY
+        # An only child of a kind that says nothing adds no evidence, so that it does not matter how many wrap each other.
+        rows, columns = np.frombuffer(self.rows, np.int32), np.frombuffer(self.columns, np.int8)
+        plain = only & (np.bincount(rows, ~np.isin(columns, NEUTRAL), len(only)) == 0)
+        np.frombuffer(self.values, np.float32)[plain[rows]] = 0.0
 
     def _node(self, parent: int, features: dict[str, float], edge: int) -> int:
+        node = len(self.parent)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
-        self.features.append(features)
         self.edge.append(edge)
-        return len(self.parent) - 1
+        for name, value in (*features.items(), ("bias", 1.0)):
+            self.rows.append(node)
+            self.columns.append(COLUMN[name])
+            self.values.append(value)
+        return node
 
     def _read(self, html: str) -> None:
-        root = self._node(-1, {"html": 1.0}, 0)
-        stack = [("html", root, "html")]
+        opened = _Open(self._node(-1, {"html": 1.0}, 0))
+        stack = opened.stack
         pending: list[str] = []
         linked = [0, 0]  # depth of open links, characters in links
         ends = None
@@ -118,7 +173,7 @@ class Page:
                     kind = stack[-1][2]
                     words = text.count(" ") + 1
                     links = min(1.0, linked[1] / max(1, sum(map(len, pending))))
-                    found = {"leaf": 1.0, "leaf_words": min(4.0, np.log1p(words)), "leaf_links": links, "leaf_short": float(words < 4), "leaf_stop": float(text[-1] in ".!?;:\"'")}
+                    found = {"leaf": 1.0, "leaf_words": min(4.0, math.log1p(words)), "leaf_links": links, "leaf_short": float(words < 4), "leaf_stop": float(text[-1] in ".!?;:\"'")}
                     found["leaf_in_p" if kind in ("p", "quote") else "leaf_in_heading" if kind in ("h1", "heading") else "leaf_in_item" if kind == "item" else "leaf_other"] = 1.0
                     self.texts[self._node(stack[-1][1], found, 2)] = text
                 pending.clear()
@@ -164,26 +219,22 @@ class Page:
             if kind is None or name in VOID:
                 continue
             flush()
-            if name in ("html", "body") and (closing or any(x[0] == name for x in stack)):
+            if name in ("html", "body") and (closing or opened.at.get(name)):
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                place = opened.last(name)
+                if place:
+                    opened.close(place)
                 continue
             if stack[-1][0] == "p":
-                stack.pop()
+                opened.close(len(stack) - 1)
             closes = CLOSES.get(name)
             if closes:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i][2] in ("list", "table") and stack[i][0] != "tr":
-                        break
+                place = opened.last(*closes)
+                if place > (opened.bounds[-1] if opened.bounds else 0):
+                    opened.close(place)
             if kind in ("h1", "heading") and stack[-1][2] in ("h1", "heading"):
-                stack.pop()
+                opened.close(len(stack) - 1)
             features = {kind: 1.0}
             attributes = match[3] or match[6]
             bad = kind in APART
@@ -195,60 +246,77 @@ class Page:
                             features["bad_word"], bad = 1.0, True
                         elif word in GOOD_WORDS:
                             features["good_word"] = 1.0
-            parent = stack[-1][1]
-            if self.depth[parent] >= MAX_DEPTH:
-                parent = self.parent[parent]
-            edge = 3 if kind == "header" and any(x[2] in ("article", "main") for x in stack) else 1 if bad else 0
-            node = self._node(parent, features, edge)
-            stack.append((name, node, kind))
+            edge = 3 if kind == "header" and opened.articles else 1 if bad else 0
+            opened.push(name, self._node(stack[-1][1], features, edge), kind)
         flush()
 
 
+def _soft_one(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class Forest:
-    """Nodes of many pages as arrays, ordered by depth."""
+    """Nodes of many pages as arrays, in levels of one depth."""
 
     def __init__(self, pages: list[Page]):
-        offset, parents, rows, columns, values = 0, [], [], [], []
-        for page in pages:
-            parents += [p + offset if p >= 0 else -1 for p in page.parent]
-            for i, found in enumerate(page.features):
-                for name, value in found.items():
-                    rows.append(offset + i)
-                    columns.append(COLUMN[name])
-                    values.append(value)
-            offset += len(page.parent)
-        self.parent = np.array(parents, dtype=np.int64)
-        depth = np.array([d for p in pages for d in p.depth], dtype=np.int64)
-        self.edge = np.array([e for p in pages for e in p.edge], dtype=np.int64)
-        self.x = np.zeros((offset, len(FEATURES)))
-        self.x[rows, columns] = values
-        self.x[:, COLUMN["bias"]] = 1.0
+        sizes = [len(p.parent) for p in pages]
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        join = lambda name, kind: np.concatenate([np.frombuffer(getattr(p, name), kind) for p in pages] or [np.zeros(0, kind)])
+        self.parent = join("parent", np.int32).astype(np.int64)
+        self.parent += np.where(self.parent >= 0, np.repeat(starts[:-1], sizes), 0)
+        self.edge = join("edge", np.int8)
+        self.rows = join("rows", np.int32) + np.repeat(starts[:-1], [len(p.rows) for p in pages])
+        self.columns, self.values = join("columns", np.int8), join("values", np.float32)
+        depth = join("depth", np.int32)
         order = np.argsort(depth, kind="stable")
-        self.levels = np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1]) if offset else []
+        self.levels = np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1]) if len(order) else []
+
+    def unary(self, weights: np.ndarray) -> np.ndarray:
+        """Log odds of content of each node by its own features."""
+        return np.bincount(self.rows, weights[self.columns] * self.values, len(self.parent))
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        """The features' sums, weighed by ``error`` of each node."""
+        return np.bincount(self.columns, self.values * error[self.rows], len(FEATURES))
 
     def marginals(self, weights: np.ndarray, edges: np.ndarray, want_edges: bool = False):
-        """P(content) by node; with want_edges also the joint of (parent, child) labels by node."""
-        node = np.zeros((len(self.parent), 2))
-        node[:, 1] = self.x @ weights
-        up = np.zeros_like(node)
-        pair = edges[self.edge]  # child, parent label, child label
+        """P(content) by node; with want_edges also the joint of (parent, child) labels by node.
+
+        All messages are log odds; edges: kind, parent's label, child's label.
+        """
+        edges = np.concatenate([edges, EQUAL[None]])
+        odds = self.unary(weights)
+        up, down = np.zeros_like(odds), np.zeros_like(odds)
+        table, parent = edges.tolist(), self.parent
         for level in self.levels[:0:-1]:
-            up[level] = np.logaddexp(pair[level, :, 0] + node[level, :1], pair[level, :, 1] + node[level, 1:])
-            np.add.at(node, self.parent[level], up[level])
-        down, joint = np.zeros_like(node), None
-        if want_edges:
-            joint = np.zeros((len(node), 2, 2))
+            if len(level) <= NARROW:
+                for i in level.tolist():
+                    (e00, e01), (e10, e11) = table[self.edge[i]]
+                    x = float(odds[i])
+                    message = _soft_one(e10, e11 + x) - _soft_one(e00, e01 + x)
+                    up[i] = message
+                    odds[parent[i]] += message
+                continue
+            e, x = edges[self.edge[level]], odds[level]
+            up[level] = np.logaddexp(e[:, 1, 0], e[:, 1, 1] + x) - np.logaddexp(e[:, 0, 0], e[:, 0, 1] + x)
+            np.add.at(odds, parent[level], up[level])
+        joint = np.zeros((len(odds), 2, 2)) if want_edges else None
         for level in self.levels[1:]:
-            above = self.parent[level]
-            cavity = node[above] + down[above] - up[level]
-            reach = pair[level] + cavity[:, :, None]
-            down[level] = np.logaddexp(reach[:, 0], reach[:, 1])
+            if len(level) <= NARROW and not want_edges:
+                for i in level.tolist():
+                    (e00, e01), (e10, e11) = table[self.edge[i]]
+                    x = float(odds[parent[i]] + down[parent[i]] - up[i])
+                    down[i] = _soft_one(e01, e11 + x) - _soft_one(e00, e10 + x)
+                continue
+            e, x = edges[self.edge[level]], odds[parent[level]] + down[parent[level]] - up[level]
+            down[level] = np.logaddexp(e[:, 0, 1], e[:, 1, 1] + x) - np.logaddexp(e[:, 0, 0], e[:, 1, 0] + x)
             if want_edges:
-                both = reach + node[level][:, None, :]
+                both = e.copy()
+                both[:, 1] += x[:, None]
+                both[:, :, 1] += odds[level][:, None]
                 both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
                 joint[level] = both / both.sum(axis=(1, 2), keepdims=True)
-        belief = node + down
-        p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -60, 60)))
+        p = 1 / (1 + np.exp(np.clip(-odds - down, -60, 60)))
         return (p, joint) if want_edges else p
 
 
@@ -348,15 +416,15 @@ def train(n_pages: int = 800, rounds: int = 200, seed: int = 1) -> tuple[np.ndar
     y = np.concatenate([labels_of(p) for p in pages])
     forest = Forest(pages)
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((EDGES, 2, 2))
+    seen = np.zeros((EDGES + 1, 2, 2))
     np.add.at(seen, (forest.edge[child], y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
     weights, edges = np.zeros(len(FEATURES)), np.zeros((EDGES, 2, 2))
     state = [np.zeros(weights.size + edges.size), np.zeros(weights.size + edges.size)]
     for step in range(1, rounds + 1):
         p, joint = forest.marginals(weights, edges, want_edges=True)
-        expected = np.zeros_like(edges)
+        expected = np.zeros_like(seen)
         np.add.at(expected, forest.edge[child], joint[child])
-        gradient = np.concatenate([forest.x.T @ (y - p) - 2 * weights, (seen - expected - 2 * edges).ravel()])
+        gradient = np.concatenate([forest.gradient(y - p) - 2 * weights, ((seen - expected)[:EDGES] - 2 * edges).ravel()])
         state = [0.9 * state[0] + 0.1 * gradient, 0.99 * state[1] + 0.01 * gradient**2]
         move = 0.15 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         weights = weights + move[: weights.size]
@@ -365,14 +433,27 @@ def train(n_pages: int = 800, rounds: int = 200, seed: int = 1) -> tuple[np.ndar
 
 
 def main_texts(htmls: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    out = []
-    for at in range(0, len(htmls), 200):
-        pages = [Page(h) for h in htmls[at : at + 200]]
+    out: list[str] = []
+    pages: list[Page] = []
+
+    def close() -> None:
         p = Forest(pages).marginals(*model)
         offset = 0
         for page in pages:
             out.append("\n".join(text for node, text in page.texts.items() if p[offset + node] > 0.5))
             offset += len(page.parent)
+        pages.clear()
+
+    nodes = 0
+    for html in htmls:
+        page = Page(html)
+        if pages and (nodes + len(page.parent) > FOREST_NODES or len(pages) >= FOREST_PAGES):
+            close()
+            nodes = 0
+        pages.append(page)
+        nodes += len(page.parent)
+    if pages:
+        close()
     return out
 
 
