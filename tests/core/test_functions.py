@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -76,3 +78,35 @@ def test_positions(spark, n):
     rows = [(i % 3, "hot" if i % 2 else "x", i) for i in range(100)]
     got = with_positions(spark.createDataFrame(rows, "a int, b string, c int").repartition(n), [F.col("b"), F.col("c")]).collect()
     assert [(r.b, r.c) for r in sorted(got, key=lambda r: r.pos)] == sorted((b, c) for _, b, c in rows) and sorted(r.pos for r in got) == list(range(100))
+
+
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_positions_in_groups_over_ranges(spark, n):
+    from trawlix.operators.ordering import with_positions
+
+    rows = [(None if i % 7 == 3 else ("big" if i % 3 else f"g{i % 5}"), (i * 37) % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(n)
+    got = with_positions(df, [F.col("v")], group=[F.col("g")]).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r.pos, r.v) for r in got if r.g == g)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(r[1] for r in rows if r[0] == g)
+
+
+def test_spent_checkpoints_go(spark):
+    from trawlix.operators.ordering import cut
+
+    where = lambda df: df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    first = cut(spark.range(10))
+    assert os.path.isdir(where(first))
+    second = cut(first.where("id > 3"), spent=first)
+    assert not os.path.exists(where(first)) and second.count() == 6
+
+
+def test_a_join_whose_keys_are_split(spark):
+    from trawlix.operators.ordering import split_join
+
+    rows = spark.createDataFrame([(i % 3, i) for i in range(50)], "k int, v int")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, s string")
+    got = split_join(rows, small, ["k"], "left", F.col("v")).collect()
+    assert sorted((r.v, r.s) for r in got) == [(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(50)]

@@ -16,9 +16,9 @@ ROUND = 4096
 
 
 def first_per_key(rows: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
-    """All columns of the first row of each key."""
-    picked = rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.col(pos)).alias("_row"))
-    return picked.select("_row.*")
+    """All columns of the first row of each key; the column ``pos`` differs in every row, and the choice is made by it alone."""
+    picked = rows.select(key.alias("_key"), pos).groupBy("_key").agg(F.min(pos).alias(pos)).select(pos)
+    return rows.join(picked, pos, "left_semi").select(*rows.columns)
 
 
 def dedupe_by_url(items: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ Ranked lists are rows of (list_id, pos, id, ...), pos from 0 in each list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_positions
+
 #: Fixed value: the fusion constant.
 RRF_K = 60
 
@@ -89,6 +93,12 @@ def require_allowed(asked: list[str], allowed: list[str]) -> None:
         raise ValueError(f"INVALID_ENGINES: {', '.join(wrong)}")
 
 
+def refused(asked: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The names asked for (column name) that are not allowed; none is refused if nothing is on the list of allowed ones."""
+    some = allowed.where("name is not null").agg((F.count("*") > 0).alias("_some"))
+    return asked.select("name").distinct().join(allowed.select("name"), "name", "left_anti").join(F.broadcast(some)).where("_some").select("name")
+
+
 def enabled_engines(engines: DataFrame) -> DataFrame:
     return engines.where("enabled").select("name")
 
@@ -116,13 +126,32 @@ def matching(hits: DataFrame, engines: list[str] | None = None, categories: list
 
 
 def list_positions(rows: DataFrame, list_col: str, order: list[Column]) -> DataFrame:
-    """list_id and pos (from 0) for lists of moderate size; use ordering.with_positions for one huge list."""
-    w = Window.partitionBy(list_col).orderBy(*order)
-    return rows.withColumn("pos", F.row_number().over(w) - 1).withColumnRenamed(list_col, "list_id")
+    """list_id and pos (from 0 in each list); a list of any length is split over tasks. ``order`` must sort ascending, nulls first."""
+    return with_positions(rows, order, group=[F.col(list_col)]).withColumnRenamed(list_col, "list_id")
+
+
+#: Parts of a response that are merged as ordered distinct texts, and those of them that history adds to.
+PARTS, OF_HISTORY = ("suggestions", "answers", "unresponsive"), ("suggestions", "answers")
+
+
+def response_parts(responses: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """kind, value and ``first`` (list_id, pos) of the suggestions, answers and unresponsive engines of searches.
+
+    responses: list_id, suggestions, answers (arrays of texts) and unresponsiveEngines (an
+    array of [name, reason]); history counts as the last list and tells of no engines.
+    """
+    from .render import first_name
+
+    names = F.transform("unresponsiveEngines", first_name)
+    parts = [responses.select("list_id", F.lit(kind).alias("kind"), (names if kind == "unresponsive" else F.col(kind)).alias("values")) for kind in PARTS]
+    if history is not None:
+        parts += [history.select(F.lit(2**31 - 1).alias("list_id"), F.lit(kind).alias("kind"), F.col(kind).alias("values")) for kind in OF_HISTORY]
+    found = reduce(DataFrame.unionByName, parts).select("list_id", "kind", F.posexplode("values").alias("pos", "value")).where("value is not null")
+    return found.groupBy("kind", "value").agg(F.min(F.struct("list_id", "pos")).alias("first"))
 
 
 def explode_responses(responses: DataFrame) -> DataFrame:
-    """Hits (list_id, query, pos, ...) of search responses: list_id, query, results array; other parts are not carried."""
+    """Hits (list_id, query, pos, ...) of search responses: list_id, query, results array; see response_parts for the rest."""
     return responses.select("list_id", "query", F.posexplode("results").alias("pos", "hit")).select("list_id", "query", "pos", "hit.*")
 
 

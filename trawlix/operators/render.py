@@ -12,8 +12,11 @@ def success_envelope(data: Column, hint: Column | None = None) -> Column:
     return F.to_json(shown, {"ignoreNullFields": "false"})
 
 
-def error_envelope(code: str, message: str, retryable: bool = False, hint: str | None = None) -> Column:
-    error = F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(retryable).alias("retryable"))
+def error_envelope(code: str | Column, message: str | Column, retryable: bool = False, hint: str | None = None, details: Column | None = None) -> Column:
+    """JSON of an error; ``details`` is a struct or map, written only where it is given."""
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    more = [] if details is None else [details.alias("details")]
+    error = F.struct(text(code).alias("code"), text(message).alias("message"), F.lit(retryable).alias("retryable"), *more)
     shown = F.struct(F.lit("error").alias("status"), F.lit(None).cast("string").alias("data"), error.alias("error"), F.lit(hint).cast("string").alias("hint"))
     return F.to_json(shown, {"ignoreNullFields": "false"})
 

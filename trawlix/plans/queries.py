@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawlix.functions import ids, simhash64, urls
 from trawlix.operators import dedupe, extract, graph, ranking, render, session
 from trawlix.operators.ordering import with_positions
-from trawlix.sources import literals
+from trawlix.sources import literals, session_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,7 +78,7 @@ def rrf_limited_lists_last_wins(spark, sf_dir):
 SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + pos + 1)), 10) AS score, count(*)::BIGINT AS n_entries FROM e WHERE id <> '' GROUP BY id""")
 def rrf_event_users(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("u"), "user_id")).alias("id"))
-    lists = ranking.list_positions(events, "event_type", [F.col("value").desc_nulls_last(), F.col("event_id")])
+    lists = ranking.list_positions(events, "event_type", [F.col("value").isNull(), F.col("value") * -1, F.col("event_id")])
     return ranking.fuse(lists).select("id", F.round("score", 10).alias("score"), "n_entries")
 
 
@@ -111,6 +111,14 @@ def unknown_engines(spark, sf_dir):
     return ranking.unknown_engines([x for x in ("Supplier#1", "nope", good, bad) if x], engines)
 
 
+@query("""SELECT s_name AS name FROM supplier WHERE s_suppkey > (SELECT max(s_suppkey) // 3 FROM supplier) AND s_name NOT IN (SELECT s_name FROM supplier WHERE s_acctbal > 0)""")
+def refused_engines(spark, sf_dir):
+    supplier = _table(spark, sf_dir, "supplier")
+    third = supplier.agg(F.floor(F.max("s_suppkey") / 3).alias("_third"))
+    asked = supplier.join(F.broadcast(third)).where("s_suppkey > _third").select(F.col("s_name").alias("name"))
+    return ranking.refused(asked, supplier.where("s_acctbal > 0").select(F.col("s_name").alias("name")))
+
+
 @query("SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS name FROM part WHERE p_size % 7 <> 0")
 def category_names(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
@@ -217,7 +225,7 @@ def similarity_to_first(spark, sf_dir):
     return hashed.select("doc_id", simhash64.similarity(F.col("h"), F.lit(first)).alias("similarity"), simhash64.is_duplicate(F.col("h"), F.lit(first)).alias("duplicate"))
 
 
-@query(f"""WITH RECURSIVE {_HASHED_SQL},
+_GREEDY_SQL = """
 firsts AS MATERIALIZED (SELECT h, min(doc_id) AS pos FROM sim GROUP BY h),
 numbered AS MATERIALIZED (SELECT h, pos, row_number() OVER (ORDER BY pos) AS n FROM firsts),
 walk AS (
@@ -225,14 +233,17 @@ walk AS (
   UNION ALL
   SELECT numbered.n, CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k, numbered.h)) <= 9)) = 0 THEN list_append(kept, numbered.h) ELSE kept END,
     CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k, numbered.h)) <= 9)) = 0 THEN list_append(ids, numbered.pos) ELSE ids END
-  FROM walk JOIN numbered ON numbered.n = walk.n + 1)
-SELECT unnest(ids) AS pos FROM (SELECT ids FROM walk ORDER BY n DESC LIMIT 1)""")
+  FROM walk JOIN numbered ON numbered.n = walk.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {_HASHED_SQL}, {_GREEDY_SQL} SELECT unnest(ids) AS pos FROM (SELECT ids FROM walk ORDER BY n DESC LIMIT 1)")
 def dedupe_simhash(spark, sf_dir):
     items = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.col("text").alias("content"))
     return dedupe.dedupe_by_simhash(items).select("pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE documents AS (SELECT min(page_id) AS doc_id, ' ' || regexp_replace(arg_min(html, page_id), '<[^>]*>', ' ', 'g') AS text FROM (SELECT *, {_NORM_SQL} AS id FROM pages) GROUP BY id), {_HASHED_SQL}, {_GREEDY_SQL}
+SELECT pos, url FROM (SELECT unnest(ids) AS pos FROM (SELECT ids FROM walk ORDER BY n DESC LIMIT 1)) JOIN pages ON pos = page_id""")
 def dedupe_pages(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), "url", F.lit("").alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("content"))
     return dedupe.dedupe(pages).select("pos", "url")
@@ -247,10 +258,10 @@ _D = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 _GRAPH_SQL = f"""{_RESULTS_SQL},
 keyed AS (SELECT *, 'q:' || {_SLUG.format('query')} AS q, 'r:' || {_SLUG.format('url')} AS r, 'd:' || {_SLUG.format(_D)} AS d, {_D} AS domain FROM results),
 all_nodes AS (
-  SELECT q AS key, 'query' AS type, query AS label, NULL::BIGINT AS rank, query_pos, pos, 0 AS step FROM keyed
-  UNION ALL SELECT r, 'result', title, pos + 1, query_pos, pos, 1 FROM keyed
-  UNION ALL SELECT d, 'domain', domain, NULL, query_pos, pos, 2 FROM keyed),
-nodes AS (SELECT key, type, label, rank FROM all_nodes QUALIFY row_number() OVER (PARTITION BY key ORDER BY query_pos, pos, step) = 1),
+  SELECT q AS key, 'query' AS type, query AS label, NULL::BIGINT AS rank, NULL AS url, query_pos, pos, 0 AS step FROM keyed
+  UNION ALL SELECT r, 'result', title, pos + 1, url, query_pos, pos, 1 FROM keyed
+  UNION ALL SELECT d, 'domain', domain, NULL, NULL, query_pos, pos, 2 FROM keyed),
+nodes AS (SELECT key, type, label, rank, url, query_pos, pos, step FROM all_nodes QUALIFY row_number() OVER (PARTITION BY key ORDER BY query_pos, pos, step) = 1),
 all_edges AS (
   SELECT q AS src, r AS dst, 'yields' AS relation, 1.0::DOUBLE / (pos + 1) AS weight, query_pos, pos FROM keyed
   UNION ALL SELECT r, d, 'belongs_to', 1.0, query_pos, pos FROM keyed),
@@ -259,8 +270,10 @@ edges AS (SELECT src, dst, relation, weight FROM all_edges QUALIFY row_number()
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://[^/]*/([a-z]+)", 1).alias("query"))
-    ranked = ranking.list_positions(pages.withColumn("list", F.col("query")), "list", [F.col("page_id")])
-    return graph.structural_graph(ranked.select(F.col("list_id").alias("query_pos"), "query", F.col("pos").cast("long").alias("pos"), "url", F.concat(F.lit("page "), "page_id").alias("title")))
+    # One row a query: a user's queries are few.
+    queries = pages.select("query").distinct().withColumn("query_pos", F.row_number().over(Window.orderBy("query")))
+    ranked = ranking.list_positions(pages.join(F.broadcast(queries), "query"), "query_pos", [F.col("page_id")]).withColumnRenamed("list_id", "query_pos")
+    return graph.structural_graph(ranked.select("query_pos", "query", F.col("pos").cast("long").alias("pos"), "url", F.concat(F.lit("page "), "page_id").alias("title")))
 
 
 @query(f"WITH {_GRAPH_SQL} SELECT key, type, label, rank FROM nodes")
@@ -308,32 +321,32 @@ def induced_edges(spark, sf_dir):
     return graph.induced(*_reached(spark, sf_dir))[1]
 
 
-@query(f"""WITH {_GRAPH_SQL}, extra AS (SELECT 499 - page_id % 500 AS pos, page_id, 'r:' || {_SLUG.format("'http://new.org/' || page_id % 40")} AS key FROM pages)
+@query(f"""WITH {_GRAPH_SQL}, extra AS (SELECT -page_id AS place, page_id, 'r:' || {_SLUG.format("'http://new.org/' || page_id // 5")} AS key FROM pages)
 SELECT key, type, label, rank FROM nodes UNION ALL
-SELECT key, 'result', 'n' || arg_min(page_id, pos), min(pos) + 1 FROM extra WHERE page_id < 500 AND key NOT IN (SELECT key FROM nodes) GROUP BY key""")
+SELECT key, 'result', 'n' || arg_min(page_id, place), min(place) + 1 FROM extra WHERE key NOT IN (SELECT key FROM nodes) GROUP BY key""")
 def graph_append_results(spark, sf_dir):
-    extra = _table(spark, sf_dir, "pages").where("page_id < 500").select((F.lit(499) - F.col("page_id") % 500).alias("pos"), F.concat(F.lit("http://new.org/"), F.col("page_id") % 40).alias("url"), F.concat(F.lit("n"), "page_id").alias("title"))
+    extra = _table(spark, sf_dir, "pages").select((-F.col("page_id")).alias("pos"), F.concat(F.lit("http://new.org/"), F.floor(F.col("page_id") / 5)).alias("url"), F.concat(F.lit("n"), "page_id").alias("title"))
     return graph.append_result_nodes(_graph(spark, sf_dir)[0], extra).select("key", "type", "label", "rank")
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT key FROM nodes ORDER BY key LIMIT 10")
+@query(f"WITH {_GRAPH_SQL} SELECT key FROM nodes ORDER BY query_pos, pos, step LIMIT 10")
 def seed_hint(spark, sf_dir):
     return graph.seed_hint(_graph(spark, sf_dir)[0])
 
 
 _MERGE_SQL = f"""WITH keyed AS (SELECT page_id, url, {_NORM_SQL} AS id FROM pages),
 lists AS (
-  SELECT 0 AS l, row_number() OVER (ORDER BY page_id) - 1 AS pos, * FROM keyed WHERE page_id % 2 = 0
+  SELECT 0 AS l, row_number() OVER (ORDER BY page_id) - 1 AS pos, * FROM keyed
   UNION ALL SELECT 1, row_number() OVER (ORDER BY url, page_id) - 1, * FROM keyed
-  UNION ALL SELECT 2, row_number() OVER (ORDER BY page_id DESC) - 1, * FROM keyed WHERE page_id % 5 = 0),
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY page_id DESC) - 1, * FROM keyed),
 short AS (SELECT * FROM lists WHERE l = 2 OR pos < 60)"""
 
 
 def _merged(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    lists = with_positions(pages.where("page_id % 2 = 0"), [F.col("page_id")]).withColumn("list_id", F.lit(0))
+    lists = with_positions(pages, [F.col("page_id")]).withColumn("list_id", F.lit(0))
     lists = lists.unionByName(with_positions(pages, [F.col("url"), F.col("page_id")]).withColumn("list_id", F.lit(1)))
-    history = with_positions(pages.where("page_id % 5 = 0"), [F.col("page_id") * -1])
+    history = with_positions(pages, [F.col("page_id") * -1])
     return ranking.merge_searches(lists, history, per_list=60, limit=25)
 
 
@@ -359,7 +372,7 @@ upserted AS (
   UNION ALL SELECT key, 'entity', label, entityType, score, NULL FROM ents),
 batch AS (
   SELECT c_custkey * 2 AS pos, 'e:' || {_SLUG.format("c_mktsegment || ' ' || c_nationkey")} AS src, CASE WHEN c_custkey % 2 = 0 THEN 'q:en' ELSE 'q:none' END AS dst, 'about' || c_custkey % 3 AS relation, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS weight FROM customer
-  UNION ALL SELECT page_id * 2 + 1, 'q:en', 'r:' || {_SLUG.format('url')}, 'seen', 0.5 FROM pages WHERE page_id % 9 = 0)"""
+  UNION ALL SELECT page_id * 2 + 1, 'q:en', 'r:' || {_SLUG.format('url')}, 'seen', 0.5 FROM pages)"""
 
 
 def _batch(spark, sf_dir):
@@ -368,7 +381,7 @@ def _batch(spark, sf_dir):
     entities = c.select(F.col("c_custkey").alias("pos"), F.lit(None).cast("string").alias("id"), label.alias("label"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("entityType"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("score"))
     results = pages.select(F.col("page_id").alias("pos"), "url", F.lit("again").alias("title"), (F.col("page_id") % 7).alias("rank"))
     about = c.select((F.col("c_custkey") * 2).alias("pos"), ids.node_id("entity", label).alias("src"), F.when(F.col("c_custkey") % 2 == 0, F.lit("q:en")).otherwise(F.lit("q:none")).alias("dst"), F.concat(F.lit("about"), (F.col("c_custkey") % 3)).alias("relation"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).alias("weight"))
-    seen = pages.where("page_id % 9 = 0").select((F.col("page_id") * 2 + 1).alias("pos"), F.lit("q:en").alias("src"), ids.node_id("result", F.col("url")).alias("dst"), F.lit("seen").alias("relation"), F.lit(0.5).alias("weight"))
+    seen = pages.select((F.col("page_id") * 2 + 1).alias("pos"), F.lit("q:en").alias("src"), ids.node_id("result", F.col("url")).alias("dst"), F.lit("seen").alias("relation"), F.lit(0.5).alias("weight"))
     return graph.add_batch(*_graph(spark, sf_dir), entities, results, about.unionByName(seen))
 
 
@@ -479,13 +492,18 @@ def extract_pages(spark, sf_dir):
     return extract.extract_pages(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (n_chars > 100 AND doc_id % 5 <> 0)::BIGINT AS success, count(*) FILTER (NOT (n_chars > 100 AND doc_id % 5 <> 0))::BIGINT AS failed FROM documents")
+@query("""WITH found AS (SELECT length(trim(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '(?s)<[^>]*>', ' ', 'g'))) AS n FROM pages)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (n > 100)::BIGINT AS success, count(*) FILTER (coalesce(n, 0) <= 100)::BIGINT AS failed FROM found""")
 def extraction_stats(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.when(F.col("doc_id") % 5 == 0, F.lit("failed")).alias("error"))
-    return extract.extraction_stats(docs)
+    return extract.extraction_stats(extract.extract_pages(_table(spark, sf_dir, "pages"), ["page_id", "url"]))
 
 
-@query()
+@query(_FUSED_SQL + """, top AS (SELECT fused.id, doc_id, lang, source, round(fused.score, 12) AS score FROM fused JOIN documents ON 'doc' || doc_id = fused.id ORDER BY fused.score DESC, f LIMIT 10),
+entries AS (
+  SELECT count(*) AS n, string_agg('### ' || i || '. [' || id || '](http://x.org/' || id || ') [' || printf('%.1f', round(score * 100 + 1e-9, 1)) || ']' || chr(10) || chr(10) || 'Engine: ' || coalesce(nullif(source, ''), 'unknown')
+    || CASE WHEN coalesce(lang, '') <> '' THEN ' · Category: ' || lang ELSE '' END || chr(10), chr(10) ORDER BY i) AS e
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM top))
+SELECT '## Search: documents' || chr(10) || chr(10) || '**' || n || '** results' || chr(10) || chr(10) || e || chr(10) || '*Unresponsive: slow*' || chr(10) || chr(10) || '**Suggestions:** more' || chr(10) AS text FROM entries""")
 def markdown_page(spark, sf_dir):
     hits = rrf_top_hits(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.col("id").alias("title"), F.concat(F.lit("http://x.org/"), "id").alias("url"), F.lit("").alias("content"), F.col("source").alias("engine"), F.col("lang").alias("category"), F.lit(None).cast("string").alias("publishedDate"), "score")
     return render.markdown(hits, "documents", ["more"], ["slow"])
@@ -496,7 +514,29 @@ def json_envelope(spark, sf_dir):
     return _table(spark, sf_dir, "region").select("r_regionkey", render.success_envelope(F.struct(F.col("r_name").alias("name"))).alias("json"))
 
 
-@query()
+@query("""SELECT r_regionkey, '{"status":"error","data":null,"error":{"code":"NO_' || upper(r_name) || '","message":"none","retryable":true,"details":{"region":' || r_regionkey || '}},"hint":"try"}' AS json FROM region""")
+def error_envelope(spark, sf_dir):
+    code = F.concat(F.lit("NO_"), F.upper("r_name"))
+    return _table(spark, sf_dir, "region").select("r_regionkey", render.error_envelope(code, "none", True, "try", F.struct(F.col("r_regionkey").alias("region"))).alias("json"))
+
+
+_SUB_SQL = f"""WITH {_GRAPH_SQL},
+seeds AS (SELECT key FROM nodes WHERE contains(lower(label), 'page 17') OR starts_with(lower(key), 'page 17')),
+around AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reached AS (SELECT key FROM seeds UNION SELECT dst FROM around JOIN seeds ON src = key),
+sub AS (SELECT * FROM nodes WHERE key IN (SELECT key FROM reached)),
+links AS (SELECT * FROM edges WHERE src IN (SELECT key FROM reached) AND dst IN (SELECT key FROM reached)),
+e AS (
+  SELECT count(*) AS n, coalesce(string_agg('  [' || s.type || '] ' || coalesce(nullif(s.label, ''), src) || ' → (' || relation || ', weight=' || printf('%.2f', round(weight + 1e-9, 2)) || ') → [' || d.type || '] ' || coalesce(nullif(d.label, ''), dst), chr(10) ORDER BY src, dst), '') AS t
+  FROM links JOIN sub s ON s.key = src JOIN sub d ON d.key = dst),
+n AS (
+  SELECT count(*) AS n, count(*) FILTER (type = 'result') AS r, count(*) FILTER (type = 'query') AS q, count(*) FILTER (type = 'domain') AS d,
+    coalesce(string_agg('  ' || key || ': [' || type || '] ' || coalesce(label, '') || CASE WHEN coalesce(url, '') <> '' THEN ', url=' || url ELSE '' END, chr(10) ORDER BY key), '') AS t
+  FROM sub)"""
+
+
+@query(_SUB_SQL + """ SELECT 'Subgraph from seeds: page 17 (depth 1)' || chr(10) || 'Nodes: ' || n.n || ' (0 entities, ' || r || ' results, ' || q || ' queries, ' || d || ' domains)' || chr(10) || 'Edges: ' || e.n || chr(10) || chr(10)
+|| 'Relationships:' || chr(10) || e.t || chr(10) || chr(10) || 'Nodes:' || chr(10) || n.t AS text FROM e, n""")
 def graph_text(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     sub = graph.subgraph(nodes, edges, ["page 17"], 1)
@@ -534,3 +574,70 @@ def inline_batch_edges(spark, sf_dir):
 def response_hits(spark, sf_dir):
     hits = F.array(F.struct(F.col("n_name").alias("title")), F.struct(F.lit("more").alias("title")))
     return ranking.explode_responses(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("list_id"), F.col("n_name").alias("query"), hits.alias("results")))
+
+
+@query("""WITH parts AS (
+  SELECT n_nationkey AS list_id, 'suggestions' AS kind, i AS pos, CASE WHEN i = 0 THEN n_name ELSE 'more' END AS value FROM nation, (VALUES (0), (1)) AS t(i)
+  UNION ALL SELECT n_nationkey, 'answers', 0, 'region ' || n_regionkey FROM nation
+  UNION ALL SELECT n_nationkey, 'unresponsive', 0, 'engine ' || n_nationkey % 4 FROM nation
+  UNION ALL SELECT 2147483647, 'suggestions', 0, 'more' UNION ALL SELECT 2147483647, 'suggestions', 1, 'old' UNION ALL SELECT 2147483647, 'answers', 0, 'an answer')
+SELECT kind, value, arg_min(list_id, list_id::BIGINT * 10 + pos)::INT AS list_id, arg_min(pos, list_id::BIGINT * 10 + pos)::INT AS pos FROM parts GROUP BY kind, value""")
+def response_parts(spark, sf_dir):
+    responses = _table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("list_id"), F.array("n_name", F.lit("more")).alias("suggestions"), F.array(F.concat(F.lit("region "), "n_regionkey")).alias("answers"),
+        F.array(F.array(F.concat(F.lit("engine "), F.col("n_nationkey") % 4), F.lit("timeout"))).alias("unresponsiveEngines"),
+    )
+    history = spark.range(1).select(F.array(F.lit("more"), F.lit("old")).alias("suggestions"), F.array(F.lit("an answer")).alias("answers"))
+    return ranking.response_parts(responses, history).select("kind", "value", "first.list_id", "first.pos")
+
+
+@query("SELECT 's' || conv_id AS session_id, (count(*) FILTER (turn < 2) > 0)::BIGINT + 1 AS rounds FROM conversations GROUP BY conv_id")
+def session_rounds(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    none = spark.createDataFrame([], "session_id string, rounds long")
+    return session.count_round(session.count_round(none, turns.where("pos < 2")), turns)
+
+
+@query(f"""WITH {_POOL_SQL}, known AS (SELECT 's' || conv_id AS session_id, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE conv_id END AS rounds FROM conversations WHERE conv_id % 3 > 0 GROUP BY conv_id)
+SELECT session_id, coalesce(nullif(any_value(rounds), 0), count(*))::BIGINT AS rounds FROM pool LEFT JOIN known USING (session_id) GROUP BY session_id""")
+def session_rounds_after_merge(spark, sf_dir):
+    known = _table(spark, sf_dir, "conversations").where("conv_id % 3 > 0").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.when(F.col("conv_id") % 2 == 0, F.lit(0)).otherwise(F.col("conv_id")).alias("rounds")).distinct()
+    return session.rounds_after_merge(known, _pool(spark, sf_dir)[1])
+
+
+_FILES_SQL = """files AS (
+  SELECT 's' || conv_id AS session_id, conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+listed AS (
+  SELECT session_id, CASE WHEN conv_id % 2 = 1 THEN 'o' || conv_id ELSE '' END AS owner, CASE WHEN conv_id % 2 = 1 THEN conv_id * 10 ELSE 0 END AS "createdAt", CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 2 END AS rounds,
+    CASE WHEN conv_id % 5 = 0 THEN 0 ELSE n END AS results, CASE WHEN conv_id % 3 = 0 THEN conv_id ELSE 0 END AS nodes, CASE WHEN conv_id % 3 = 0 THEN n ELSE 0 END AS edges FROM files)"""
+
+
+def _listed_files(spark, sf_dir):
+    """Session folders as texts: meta of odd sessions, a broken results file of every fifth, graphs of every third."""
+    sizes = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    path = lambda name: F.concat(F.lit("file:/root/s"), "conv_id", F.lit(f"/{name}.json")).alias("path")
+    ok = lambda data: F.to_json(F.struct(F.lit("ok").alias("status"), data.alias("data")))
+    hits = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(F.concat(F.lit("http://x/"), i).alias("url")))
+    meta = sizes.where("conv_id % 2 = 1").select(path("meta"), F.to_json(F.struct(F.concat(F.lit("o"), "conv_id").alias("owner"), (F.col("conv_id") * 10).alias("createdAt"))).alias("value"))
+    results = sizes.select(path("results"), F.when(F.col("conv_id") % 5 == 0, F.lit("{broken")).otherwise(ok(F.struct(F.lit(2).alias("rounds"), hits.alias("results")))).alias("value"))
+    stats = sizes.where("conv_id % 3 = 0").select(path("graph"), ok(F.struct(F.struct(F.col("conv_id").alias("nodes"), F.col("n").alias("edges")).alias("stats"))).alias("value"))
+    return session_files.sessions_of(meta.unionByName(results).unionByName(stats))
+
+
+@query(f'WITH {_FILES_SQL} SELECT session_id, owner, "createdAt"::BIGINT AS "createdAt", rounds::BIGINT AS rounds, results::BIGINT AS results, nodes::BIGINT AS nodes, edges::BIGINT AS edges FROM listed')
+def session_folders(spark, sf_dir):
+    return _listed_files(spark, sf_dir).select("session_id", "owner", "createdAt", "rounds", "results", "nodes", "edges")
+
+
+@query(f'WITH {_FILES_SQL} SELECT session_id, "createdAt"::BIGINT AS seen FROM listed ORDER BY seen DESC, session_id LIMIT 10')
+def sessions_newest(spark, sf_dir):
+    return _listed_files(spark, sf_dir).orderBy(*session.newest_first()).limit(10).select("session_id", "seen")
+
+
+@query("""SELECT 'n:' || n_nationkey AS key, n_name AS label, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) - 1)::BIGINT AS place FROM nation""")
+def graph_file_nodes(spark, sf_dir):
+    node = F.struct(F.concat(F.lit("n:"), "n_nationkey").alias("key"), F.struct(F.lit("entity").alias("type"), F.col("n_name").alias("label")).alias("attributes"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("n_name", node.alias("node"))), asc=False), lambda x: x["node"])
+    graphs = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.struct(listed.alias("nodes"), F.array().cast("array<struct<source:string>>").alias("edges")).alias("graph"))
+    files = graphs.select(F.when(F.col("n_regionkey") % 2 == 0, F.to_json("graph")).otherwise(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct("graph").alias("data")))).alias("value"))
+    return literals.graph_of(files)[0].select("key", "label", "pos.place")

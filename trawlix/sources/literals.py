@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,28 +36,64 @@ def results_of(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(F.posexplode(F.coalesce(enveloped, bare)).alias("pos", "hit")).select("pos", "hit.*").where("url is not null and url <> ''")
 
 
-def read_results_file(spark: SparkSession, path: str) -> DataFrame:
+def is_object(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def read_results_file(spark: SparkSession, path: str, code: str = "MERGE_FILE_FAILED") -> DataFrame:
+    """The hits of a results file; one that is missing or no JSON object is an error of this code."""
     try:
         texts = spark.read.text(path, wholetext=True)
+        read = texts.agg(F.count("*").alias("files"), F.count_if(is_object(F.col("value"))).alias("good")).first()
+        if read.good < max(1, read.files):
+            raise ValueError(code)
     except AnalysisException as e:
-        raise ValueError("MERGE_FILE_FAILED") from e
+        raise ValueError(code) from e
     return results_of(texts)
 
 
+def read_urls_file(spark: SparkSession, path: str) -> DataFrame:
+    """The hits of the results file whose pages are to be extracted."""
+    return read_results_file(spark, path, "FILE_READ_FAILED")
+
+
+def graph_file(spark: SparkSession, named: str, home: str) -> str:
+    """Where a graph lies: a bare name is a session under ``home``, and a folder holds ``graph.json``."""
+    path = named if re.search(r"[/\\\\]", named) else f"{home.rstrip('/')}/{named}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path.rstrip('/')}/graph.json" if fs.exists(where) and fs.getFileStatus(where).isDirectory() else path
+
+
+def read_graph_file(spark: SparkSession, named: str, home: str = ".", mode: str = "error") -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a graph by path or session name; mode ``empty`` reads a missing or broken one as an empty graph."""
+    try:
+        texts = spark.read.text(graph_file(spark, named, home), wholetext=True)
+    except AnalysisException as e:
+        if mode == "error":
+            raise ValueError("GRAPH_READ_FAILED") from e
+        texts = spark.createDataFrame([], "value string")
+    return graph_of(texts, mode)
+
+
 def graph_of(texts: DataFrame, mode: str = "error", column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of graph files, enveloped or bare. mode ``empty`` reads a broken file as an empty graph."""
+    """nodes (with their order as pos) and edges of graph files, enveloped or bare. mode ``empty`` reads a broken file as an empty graph."""
     graph = f"struct<nodes:array<{NODE}>,edges:array<{EDGE}>>"
     found = texts.select(F.coalesce(F.from_json(column, f"struct<data:struct<graph:{graph}>>")["data"]["graph"], F.when(F.get_json_object(column, "$.nodes").isNotNull(), F.from_json(column, graph))).alias("g"))
     if mode == "error" and not found.where("g is null").isEmpty():
         raise ValueError("GRAPH_READ_FAILED")
-    nodes = found.select(F.explode("g.nodes").alias("n")).select("n.key", "n.attributes.*")
+    zero = F.lit(0).cast("long")
+    pos = F.struct(zero.alias("batch"), zero.alias("query"), F.col("at").cast("long").alias("place"), F.lit(0).alias("step")).alias("pos")
+    nodes = found.select(F.posexplode("g.nodes").alias("at", "n")).select("n.key", "n.attributes.*", pos)
     return nodes, found.select(F.explode("g.edges").alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.attributes.*")
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, value: the graph as its file holds it (a file is read whole, so it is small)."""
-    attributes = [c for c in nodes.columns if c != "key"]
-    n = nodes.agg(F.array_sort(F.collect_list(F.struct("key", F.struct(*attributes).alias("attributes")))).alias("nodes"))
+    """One row, value: the graph as its file holds it, nodes as they were added (a file is read whole, so it is small)."""
+    attributes = [c for c in nodes.columns if c not in ("key", "pos")]
+    node = F.struct("key", F.struct(*attributes).alias("attributes")).alias("node")
+    listed = nodes.select(F.struct(*[c for c in ("pos",) if c in nodes.columns], "key", node).alias("x"))
+    n = listed.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["node"]).alias("nodes"))
     e = edges.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.struct("relation", "weight").alias("attributes")))).alias("edges"))
     return n.join(e).select(F.to_json(F.struct(F.lit("ok").alias("status"), F.struct(F.struct("nodes", "edges").alias("graph")).alias("data"))).alias("value"))
 
@@ -71,6 +108,8 @@ class Config:
     default_limit: int = 10
     timeout_ms: int = 10_000
     output_format: str = "json"
+    use_proxy: bool = False
+    proxy_url: str = ""
 
     @classmethod
     def load(cls, local: str | None = None, shared: str | None = None, env: dict | None = None, prefix: str = "TRAWLIX_") -> Config:
@@ -84,7 +123,9 @@ class Config:
             for name, value in layer.items():
                 if hasattr(out, name):
                     kind = type(getattr(out, name))
-                    setattr(out, name, [x.strip() for x in value.split(",") if x.strip()] if kind is list and isinstance(value, str) else kind(value))
+                    text = isinstance(value, str)
+                    value = [x.strip() for x in value.split(",") if x.strip()] if kind is list and text else value in ("true", "1") if kind is bool and text else kind(value)
+                    setattr(out, name, value)
         if out.output_format not in ("json", "md"):
             raise ValueError("output_format must be json or md")
         return out

@@ -2,7 +2,10 @@
 
 ``spark.read.format("trawlix_search").option("base_url", ...).option("queries", "a,b")``
 reads one partition per query. engines, categories, language, time_range and page
-go to the server; ``limit`` keeps the best hits of each query, by score.
+go to the server; ``limit`` keeps the best hits of each query, by score. With
+``whole`` each query gives one row of everything the server answered, as
+``ranking.explode_responses`` and ``ranking.response_parts`` take it. ``proxy`` is the
+address of an HTTP proxy.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from trawlix.operators.ranking import category_names, enabled_engines
 
 SCHEMA = "list_id int, query string, pos long, title string, url string, content string, engine string, category string, publishedDate string, thumbnail string, score double"
+WHOLE = """list_id int, query string, numberOfResults long,
+results array<struct<title:string,url:string,content:string,engine:string,category:string,publishedDate:string,thumbnail:string,score:double>>,
+suggestions array<string>, answers array<string>, corrections array<string>, infoboxes array<struct<infobox:string,content:string,engine:string>>,
+unresponsiveEngines array<array<string>>"""
 TIME_RANGES = {"day", "week", "month", "year", "all"}
 
 
@@ -41,13 +48,30 @@ class _Reader(DataSourceReader):
             asked["time_range"] = o["time_range"]
         if int(o.get("page", 1)) > 1:
             asked["pageno"] = o["page"]
-        with urllib.request.urlopen(f"{o['base_url']}/search?{urllib.parse.urlencode(asked)}", timeout=int(o.get("timeout_ms", 10_000)) / 1000) as answer:
-            hits = json.load(answer).get("results") or []
+        with _open(f"{o['base_url']}/search?{urllib.parse.urlencode(asked)}", int(o.get("timeout_ms", 10_000)), o.get("proxy")) as answer:
+            said = json.load(answer)
+        hits = said.get("results") or []
         hits.sort(key=lambda h: (h.get("score") is None, -(h.get("score") or 0)))
         limit = int(o.get("limit", 0))
-        for pos, h in enumerate(hits[:limit] if limit > 0 else hits):
-            score = h.get("score")
-            yield (partition.value, partition.query, pos, h.get("title") or "", h.get("url") or "", h.get("content") or h.get("snippet") or "", h.get("engine") or "unknown", h.get("category") or "general", h.get("publishedDate"), h.get("thumbnail"), None if score is None else float(score))
+        rows = [_hit(h) for h in (hits[:limit] if limit > 0 else hits)]
+        if o.get("whole", "false").lower() != "true":
+            for pos, row in enumerate(rows):
+                yield (partition.value, partition.query, pos, *row)
+            return
+        texts = lambda name: [x if isinstance(x, str) else json.dumps(x) for x in said.get(name) or []]
+        boxes = [(b.get("infobox"), b.get("content"), b.get("engine")) for b in said.get("infoboxes") or []]
+        silent = [[str(x) for x in e] if isinstance(e, list) else [str(e)] for e in said.get("unresponsive_engines") or []]
+        yield (partition.value, said.get("query") or partition.query, int(said.get("number_of_results") or 0), rows, texts("suggestions"), texts("answers"), texts("corrections"), boxes, silent)
+
+
+def _hit(h: dict) -> tuple:
+    score = h.get("score")
+    return (h.get("title") or "", h.get("url") or "", h.get("content") or h.get("snippet") or "", h.get("engine") or "unknown", h.get("category") or "general", h.get("publishedDate"), h.get("thumbnail"), None if score is None else float(score))
+
+
+def _open(url: str, timeout_ms: int, proxy: str | None = None):
+    ways = [urllib.request.ProxyHandler({"http": proxy, "https": proxy})] if proxy else []
+    return urllib.request.build_opener(*ways).open(url, timeout=timeout_ms / 1000)
 
 
 class SearchSource(DataSource):
@@ -56,18 +80,24 @@ class SearchSource(DataSource):
         return "trawlix_search"
 
     def schema(self):
-        return SCHEMA
+        return WHOLE if self.options.get("whole", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def healthy(base_url: str, timeout_ms: int = 5000) -> bool:
+def health(base_url: str, timeout_ms: int = 5000) -> dict:
+    """status and baseUrl of a server, with the names of its enabled engines or what went wrong."""
     try:
-        with urllib.request.urlopen(f"{base_url}/healthz", timeout=timeout_ms / 1000) as answer:
-            return answer.status == 200
-    except OSError:
-        return False
+        with _open(f"{base_url}/healthz", timeout_ms):
+            engines = [e.get("name") for e in _config(base_url, timeout_ms).get("engines") or [] if e.get("enabled")]
+            return {"status": "healthy", "baseUrl": base_url, "engines": engines}
+    except (OSError, ValueError) as e:
+        return {"status": "unhealthy", "baseUrl": base_url, "error": str(e) or type(e).__name__}
+
+
+def healthy(base_url: str, timeout_ms: int = 5000) -> bool:
+    return health(base_url, timeout_ms)["status"] == "healthy"
 
 
 def _config(base_url: str, timeout_ms: int) -> dict:

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trawlix.functions.urls import normalize_url
-from trawlix.operators.session import append_results
+from trawlix.operators.session import added_results
 from trawlix.sources.session_store import SessionStore
 
 
 def append_stream(results: DataFrame, store: SessionStore, schema: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append each micro-batch of results (session_id, pos, url, ...) to the store's pool.
 
-    Appending a batch twice changes nothing, so a batch that is replayed after a
-    failure is harmless.
+    Only the batch's new rows are written. Appending a batch twice changes nothing, so a
+    batch that is replayed after a failure is harmless.
     """
 
     def round_(batch: DataFrame, _: int) -> None:
-        store.write("results", append_results(store.read("results", schema), batch))
+        store.append("results", added_results(store.read("results", schema), batch))
 
     writer = results.writeStream.foreachBatch(round_).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
