@@ -71,6 +71,18 @@ def test_canonical_and_schema():
     assert tc.problems([1, "2"], {"type": "array", "items": {"type": "integer", "enum": [1]}}) == ["$[1]: not integer"]
 
 
+def test_half_surrogates_long_and_odd_arguments(spark):
+    deep, far = "[" * 100_000 + "]" * 100_000, "[" * 900 + "]" * 900
+    args = ['{"x":"\\ud800"}', '{"\\udc00k":"\\ud83d\\ude00"}', '{"a":1e999}', "9" * 5000, deep, far, json.dumps({"t": "é" * 3_000_000}), '{"a":1,"a":2}', None, '{"a":1,"b":2,"\\ud801":3}']
+    calls = [(1, f"k{i}", None, i, "add" if i == 9 else "any", a) for i, a in enumerate(args)]
+    got = {r.call_id: r for r in tc.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()}
+    assert '"arguments":{"x":"\\ud800"}' in got["k0"].json and json.loads(got["k0"].json)["arguments"] == {"x": "\ud800"} and got["k0"].status == "unanswered"
+    assert '{"\\udc00k":"😀"}' in got["k1"].json
+    assert [got[f"k{i}"].status for i in (2, 3, 4, 8)] == ["invalid"] * 4 and got["k4"].errors == ["$: not JSON"]
+    assert got["k5"].status in ("unanswered", "invalid") and len(json.loads(got["k6"].json)["arguments"]["t"]) == 3_000_000
+    assert '"arguments":{"a":2}' in got["k7"].json and got["k9"].errors == ["$.\\ud801: unknown"]
+
+
 def test_empty(spark):
     assert tc.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
 

@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlix.operators.ordering import cut, prefix_sums
+from trawlix.operators.ordering import cut, forget, prefix_sums, split_join
 
-__all__ = ["LOWER", "binary", "chunks", "cut", "fold", "prefix_sums", "table"]
+__all__ = ["LOWER", "binary", "chunks", "cut", "fold", "forget", "prefix_sums", "split_join", "table"]
 
 #: Bytes of text that one chunk gathers before it is handed on.
 CHUNK_BYTES = 4 << 20

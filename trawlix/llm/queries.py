@@ -84,7 +84,28 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
     other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
     context = turns.where(other).select("conv_id", F.concat(F.lit("t"), "turn", F.lit("-"), F.coalesce("role", F.lit(""))).alias("call_id"), "turn", "role", F.col("text").alias("content"))
-    return tool_calls.link(calls, results, CHAT_SCHEMAS, context)
+    return tool_calls.link(calls, results, CHAT_SCHEMAS, context).withColumn("errors", F.array_join("errors", "; "))
+
+
+OP9_SQL = """
+WITH turns AS (SELECT conv_id, turn::BIGINT AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (SELECT conv_id, turn, arg_min(text, coalesce(to_json(text)::VARCHAR, '')) AS text, count(text) < count(*) AS bare, count(*) AS copies FROM turns WHERE role = 'user' GROUP BY conv_id, turn),
+islands AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls),
+deep AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM islands),
+answers AS (SELECT conv_id, turn - 1 AS at, min(turn) AS turn, min(text) AS content FROM turns WHERE role = 'assistant' GROUP BY conv_id, turn),
+rows AS (
+  SELECT coalesce(d.conv_id, a.conv_id) AS conv_id, 'c' || coalesce(d.turn, a.at) AS call_id, CASE WHEN d.conv_id IS NOT NULL THEN 'reply' END AS name, depth, coalesce(d.turn, a.turn) AS turn, coalesce(copies, 0) AS copies,
+    CASE WHEN d.conv_id IS NULL THEN 'orphan' WHEN bare THEN 'invalid' WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CASE WHEN bare THEN '$.prompt: missing' ELSE '' END AS errors,
+    CASE WHEN d.conv_id IS NULL THEN '{"id":"c' || a.at || '","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}'
+      ELSE '{"arguments":{' || CASE WHEN bare THEN '' ELSE '"prompt":' || to_json(d.text)::VARCHAR || ',' END || '"turn":' || d.turn || '},"depth":' || depth || ',"id":"c' || d.turn || '","name":"reply","parent":"c' || (d.turn - 2)
+        || '","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || ',"valid":' || CASE WHEN bare THEN 'false' ELSE 'true' END || '}' END AS json, false AS context
+  FROM deep d FULL JOIN answers a ON a.conv_id = d.conv_id AND a.at = d.turn
+  UNION ALL
+  SELECT conv_id, 't' || turn || '-' || coalesce(role, ''), role, NULL, turn, count(*), 'context', '',
+    '{"content":' || coalesce(to_json(min(text))::VARCHAR, 'null') || ',"id":' || to_json('t' || turn || '-' || coalesce(role, ''))::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}', true
+  FROM turns WHERE coalesce(role NOT IN ('user', 'assistant'), true) GROUP BY conv_id, turn, role)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(depth, 4611686018427387904), context, turn, call_id) AS position, call_id, name, depth, turn, copies, status, errors, json FROM rows
+"""
 
 
 OP5_SQL = r"""
@@ -153,4 +174,4 @@ QUERIES: dict[str, Query] = {
     "op9_tool_calls": op9_tool_calls,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_fair_mix": OP5_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_fair_mix": OP5_SQL, "op9_tool_calls": OP9_SQL, "op10_decontaminate": OP10_SQL}

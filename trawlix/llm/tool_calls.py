@@ -4,10 +4,12 @@ Calls and results meet by a hash join on (conv_id, call_id). A call may name the
 call whose result it builds on; these references form a forest, whose depths come
 from pointer doubling, so a chain of n calls takes log2(n) joins and no task sees a
 whole conversation. Calls are ordered by depth, then turn, then call_id, and their
-positions in the conversation are running totals over range-sorted rows, so that a
-conversation with a third of all rows is split. Arguments are checked against
-the schema of the call's tool, and each call is written as canonical JSON: sorted
-keys, no spaces, no escapes beyond JSON's own, numbers as Python writes them.
+positions in the conversation are running totals over range-sorted rows that begin
+anew with each conversation, so that a conversation with a third of all rows is split.
+Arguments are checked against the schema of the call's tool, and each call is written
+as canonical JSON: sorted keys, no spaces, no escapes beyond JSON's own, numbers as
+Python writes them. Half of a surrogate pair, which JSON may name and UTF-8 cannot
+hold, stays the escape it was.
 
 Defined cases: repeated calls or results of one id count as one, the least by
 (turn, text), and ``copies`` says how many calls there were; a result without a
@@ -17,12 +19,16 @@ reference to no call makes a root; calls on a cycle of references have depth nul
 status ``cyclic`` and come last. Turns that are neither call nor result may be given
 as context: rows of status ``context`` with their role as name, which come last, as
 all without a depth. Rows with a null conv_id or call_id are linked to nothing: they
-are left out, as no id can be written for them.
+are left out, as no id can be written for them. Numbers beyond a double, NaN and
+arguments nested deeper than Python reads are no JSON here; of a key that stands twice in
+an object the last counts. Arguments and contents of any length are written whole.
+Empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +41,16 @@ from .common import cut, prefix_sums
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def writable(text: str) -> str:
+    """The text with halves of surrogate pairs as the escapes of JSON."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return writable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def problems(value, schema: dict, path: str = "$") -> list[str]:
@@ -65,14 +79,20 @@ def _reject(constant: str):
     raise ValueError(constant)
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    return value if abs(value) < float("inf") else _reject(text)
+
+
 def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, list[str]]:
     if name not in schemas:
         return arguments, ["unknown tool"]
     try:
-        value = json.loads(arguments or "", parse_constant=_reject)
+        value = json.loads(arguments or "", parse_constant=_reject, parse_float=_number)
+        canonical(value)
+        return value, [writable(p) for p in problems(value, schemas[name])]
     except (ValueError, RecursionError):
         return arguments, ["$: not JSON"]
-    return value, problems(value, schemas[name])
 
 
 def _written(schemas: dict[str, dict]):
@@ -129,7 +149,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], context
     calls = cut(calls)
     results = results.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r")).select("conv_id", "call_id", "r.*", F.lit(True).alias("answered"))
     deep = depths(calls.select("conv_id", "call_id", "parent"))
-    joined = calls.withColumn("is_call", F.lit(True)).join(deep, ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "full")
+    joined = calls.withColumn("is_call", F.lit(True)).join(deep, ["conv_id", "call_id"]).join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     rows = joined.select(
         "conv_id", "call_id", "name", "arguments", "parent", "content", "depth", F.coalesce("turn", "result_turn").alias("turn"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
         F.coalesce("is_call", F.lit(False)).alias("is_call"), F.coalesce("answered", F.lit(False)).alias("answered"), (F.col("is_call") & F.col("depth").isNull()).alias("cyclic"),
@@ -143,8 +163,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], context
     # A row of context may have the id of a call.
     written = written.withColumn("_context", F.col("status") == "context")
     late = F.coalesce("depth", F.lit(2**62))
-    through = prefix_sums(written.select("conv_id", "call_id", "_context", late.alias("_late"), "turn"), [F.col("conv_id"), F.col("_late"), F.col("_context"), F.coalesce("turn", F.lit(2**62)), F.col("call_id")], {"_at": F.lit(1)})
-    sizes = written.groupBy("conv_id").agg(F.count("*").alias("_n"))
-    starts = prefix_sums(sizes, [F.col("conv_id")], {"_through": F.col("_n")}).select("conv_id", (F.col("_through") - F.col("_n")).alias("_before"))
-    placed = through.select("conv_id", "call_id", "_context", "_at").join(starts, "conv_id").select("conv_id", "call_id", "_context", (F.col("_at") - F.col("_before")).alias("position"))
+    order = [late, F.col("_context"), F.coalesce("turn", F.lit(2**62)), F.col("call_id")]
+    placed = prefix_sums(written.select("conv_id", "call_id", "_context", "depth", "turn"), order, {"position": F.lit(1)}, group=[F.col("conv_id")]).select("conv_id", "call_id", "_context", "position")
     return written.join(placed, ["conv_id", "call_id", "_context"]).select("conv_id", "position", "call_id", "name", "depth", "turn", "copies", "status", "errors", "json")
