@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from trawlix.llm import simhash
@@ -65,15 +66,39 @@ def test_components_match_all_pairs(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
-def test_a_key_that_is_cut_again_loses_no_link(monkeypatch):
+def test_a_key_that_is_cut_again_loses_no_link(spark):
     rng = np.random.default_rng(3)
     # All share segment 0 but for a bit, so all meet under one key.
     fps = np.unique(np.array([(int(h) << 32) | (5 ^ int(rng.integers(0, 2))) for h in near(rng, 0xABCDEF01, 500, 5)], dtype=object) & (2**64 - 1)).astype(np.uint64)
-    monkeypatch.setattr(simhash, "DIRECT", 10)
-    got = simhash.contract(np.concatenate(simhash._links_of(fps, 0), axis=1))
-    root = dict(zip(got[1].tolist(), got[0].tolist()))
+    df = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long")
     want = plain_components(fps.tolist())
-    assert [root.get(int(f), int(f)) for f in fps] == [int(fps[w]) for w in want]
+    for direct in (10, 100, len(fps)):
+        got = simhash.links(df, direct).collect()
+        pairs = np.array([[r.u for r in got], [r.v for r in got]], np.int64).view(np.uint64)
+        stars = simhash.contract(pairs)
+        root = dict(zip(stars[1].tolist(), stars[0].tolist(), strict=True))
+        assert [root.get(int(f), int(f)) for f in fps] == [int(fps[w]) for w in want]
+
+
+def test_a_large_key_over_many_batches():
+    fps = np.arange(1, 400, dtype=np.uint64)
+    rows = [(3, 5), *[(9, int(f)) for f in fps], (12, 1), (12, 2)]
+    for size in (1, 7, 50, 1000):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "fp"]) for i in range(0, len(rows), size)]
+        out = [b for b in simhash._links(20)(iter(batches))]
+        finer = [(k, u) for b in out for u, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if k is not None]
+        assert len(finer) == 32 * len(fps) == len(set(finer)) and {k >> 21 for k, _ in finer} == {9}
+        assert [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in out if b.column(2).null_count] == [(1, 2)]
+
+
+def test_a_hub_and_a_fingerprint_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 8)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(1000, 1001), (1001, 1002), (2000, 5)], "u long, v long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(300)}, 2000: 0, 1000: 1000, 1001: 1000, 1002: 1000}
+    rows = [(i, "the same words in very many documents here") for i in range(200, 0, -1)] + [(0, "other words are in this one alone")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), *[(i, 1) for i in range(1, 201)]]
 
 
 def test_documents(spark):
