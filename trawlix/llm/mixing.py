@@ -15,8 +15,11 @@ the rows is split over many tasks. Only one document, the one on the edge of the
 budget, and four totals reach the driver.
 
 Defined cases: a null text has size 0; documents of size 0 are returned with
-taken 0; repeated rows are separate documents; a null doc_id is shuffled as the
-text ``null``; an empty table gives an empty result.
+taken 0; repeated rows are separate documents, and of rows with the same doc_id and
+size (null doc_ids are shuffled as the text ``null``) any may be taken first; a text of
+any length is counted whole and may be taken in part; sources that tie are filled in
+order of their names; an empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums
+from .common import cut, prefix_sums, split_join
 
 REPEATS = 3
 SEED = "mix-1"
@@ -58,10 +61,12 @@ def mix(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and taken (words that the mix takes)."""
     source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}")))
-    sizes = cut(docs.select("doc_id", "source", source.alias("_source"), n_words(F.col("text")).alias("size"), shuffled.alias("_shuffled")))
+    # The number tells rows apart that have the same hash and size; it is kept with them.
+    number = F.monotonically_increasing_id().alias("_number")
+    sizes = cut(docs.select("doc_id", "source", source.alias("_source"), n_words(F.col("text")).alias("size"), shuffled.alias("_shuffled"), number))
     per_source = targets(sizes, repeats)
-    queued = prefix_sums(sizes, [F.col("_source"), F.col("_shuffled"), F.col("size")], {"_through": F.col("size")})
-    queued = cut(queued.join(per_source, "_source").withColumn("_at", F.col("_through") - F.col("_before")))
+    queued = prefix_sums(sizes, [F.col("_source"), F.col("_shuffled"), F.col("size"), F.col("_number")], {"_through": F.col("size")})
+    queued = cut(split_join(queued, per_source, ["_source"], "inner", F.col("_shuffled")).withColumn("_at", F.col("_through") - F.col("_before")))
     finish = lambda e: (F.col("source_size") * e + F.col("_at")).cast("double") / F.col("target")
     rounds = F.explode(F.array(*[F.struct(finish(F.lit(e)).alias("finish"), F.lit(e).alias("round")) for e in range(repeats)])).alias("r")
     entries = queued.where("size > 0").select(rounds, "_source", "_at", "size").select("r.finish", "r.round", "_source", "_at", "size")
