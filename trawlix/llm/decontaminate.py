@@ -9,11 +9,16 @@ phrase, last word first, to its rows; steps back through the transform to the
 nearest sampled suffix position locate the occurrences; their spans are merged.
 
 The benchmark reaches the workers in blocks of at most ``BLOCK_BYTES`` of text, in
-one block if it is smaller. With more, each block's spans are merged by row.
+one block if it is smaller. With more, the documents are kept with a number, read once
+a block, and each block's spans are merged by that number.
 
 Defined cases: null or empty texts have no words and no hits; items without words
 have no phrase; an item with a null id marks words but is not listed; repeated
-items and rows change nothing but the repeated rows' own results.
+items and rows change nothing but the repeated rows' own results, and rows with equal or
+null doc_ids each get a row; a text of any length is indexed whole (about 100 bytes for
+each of its words that some item has); an empty table gives no rows, an empty benchmark
+no hits. Other columns are ignored, whatever their names; of the columns to keep none may
+be named n_words, spans or items.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, chunks
+from .common import LOWER, binary, chunks, cut
 
 #: Words of a test phrase.
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Bytes of test items handled at once: about so many words / 6 phrases of 100 bytes, so 150 MB.
+BLOCK_BYTES = 8 << 20
 #: Every so many suffix positions is kept.
 SAMPLE = 8
 #: a-z, 0-9 and every byte above ASCII are parts of words; all else separates.
@@ -43,22 +49,31 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def phrases_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict:
-    """The test phrases as rows of word numbers (by length), with the items that have each."""
+    """The test phrases as rows of word numbers (by length), with the items that have each.
+
+    Phrases are arrays, about 100 bytes each; ``items`` are the ids as texts, sorted, and
+    those of phrase p are ``which[first[p] : first[p + 1]]``.
+    """
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set] = {}
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for at in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-    by_length: dict[int, list] = {}
-    for phrase in found:
-        by_length.setdefault(len(phrase), []).append(phrase)
-    lengths = sorted(by_length)
-    ordered = [p for n in lengths for p in by_length[n]]
+    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)), np.int32) for _, text in items]
+    ids = sorted({item for item, _ in items if item is not None})
+    place = {item: i for i, item in enumerate(ids)}
+    lengths = sorted({min(window, len(x)) for x in numbers if len(x)})
+    found, pairs, base = [], [], 0
+    for n in lengths:
+        mine = [i for i, x in enumerate(numbers) if min(window, len(x)) == n]
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(numbers[i], n) for i in mine])
+        owner = np.repeat([place.get(items[i][0], -1) for i in mine], [len(numbers[i]) - n + 1 for i in mine])
+        order = np.lexsort(rows.T[::-1])
+        rows, owner = rows[order], owner[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+        found.append(rows[new])
+        pairs.append(np.unique(np.stack([base + np.cumsum(new) - 1, owner])[:, owner >= 0], axis=1))
+        base += len(found[-1])
+    pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
     return {
-        "id": uuid.uuid4().hex, "vocabulary": vocabulary, "shortest": min(lengths, default=0),
-        "phrases": [np.array(by_length[n], dtype=np.int64).reshape(-1, n) for n in lengths],
-        "items": [sorted(x for x in found[p] if x is not None) for p in ordered],
+        "id": uuid.uuid4().hex, "vocabulary": vocabulary, "shortest": min(lengths, default=0), "phrases": found,
+        "items": ids, "which": pairs[1].astype(np.int32), "first": np.searchsorted(pairs[0], np.arange(base + 1)),
     }
 
 
@@ -211,9 +226,11 @@ def _matches(texts: list[bytes], bench: dict) -> tuple[np.ndarray, list[list[int
     starts, stops = np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([stops, inside]))
     for a, b, d in zip(starts.tolist(), stops.tolist(), np.searchsorted(ends, starts, side="right").tolist(), strict=True):
         spans[d] += [a - int(begins[d]), b - int(begins[d])]
+    which: list[set[int]] = [set() for _ in texts]
     for pair in np.concatenate(pairs).tolist():
-        items[pair >> 32] += bench["items"][pair & 0xFFFFFFFF]
-    return lengths, spans, [sorted(set(x)) for x in items]
+        phrase = pair & 0xFFFFFFFF
+        which[pair >> 32].update(bench["which"][bench["first"][phrase] : bench["first"][phrase + 1]].tolist())
+    return lengths, spans, [[bench["items"][i] for i in sorted(x)] for x in which]
 
 
 def _finder(shared, keep: list[str]):
@@ -251,7 +268,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     blocks = max(1, -(-int(size) // block_bytes))
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     if blocks > 1:
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        # Kept with the rows, which are read once a block: a row that is computed again keeps its number.
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     carried = keep if blocks == 1 else ["_row"]
     types = ", ".join(f"`{c}` {'binary' if c == 'text' else rows.schema[c].dataType.simpleString()}" for c in carried)
     parts = []
