@@ -30,8 +30,8 @@ def test_against_plain_rules(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     want = sorted((i, *plain(u)) for i, u in [*enumerate(URLS), (0, URLS[0])])
     key = lambda r: (r[0], r[1:4:2] and str(r))
-    for max_listed in (url_filter.MAX_LISTED, 2):
-        got = sorted(tuple(r) for r in url_filter.filter_urls(pages, rules, max_listed).select("page_id", "host", "path", "rule", "verdict").collect())
+    for shard in (url_filter.SHARD, 2):
+        got = sorted(tuple(r) for r in url_filter.filter_urls(pages, rules, shard).select("page_id", "host", "path", "rule", "verdict").collect())
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
@@ -45,6 +45,16 @@ def test_cascade_is_exact(spark):
     assert sum(b.bits for b in cascade.levels) < 20_000
 
 
+def test_cascade_over_a_large_list_in_shards(spark):
+    pages = spark.range(3000).select("id", F.concat(F.lit("http://h"), F.col("id") % 2000, F.lit(".com/p")).alias("url"), F.lit(1).alias("_block"))
+    rules = spark.range(1500).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.when(F.col("id") % 3 == 0, F.lit("allow")).otherwise(F.lit("block")).alias("action"))
+    for shard in (url_filter.SHARD, 400):
+        got = url_filter.filter_urls(pages, rules, shard)
+        host = F.col("id") % 2000
+        wrong = got.where((F.col("verdict") != F.when((host < 1500) & (host % 3 != 0), F.lit("block")).otherwise(F.lit("allow"))) | (F.col("rule").isNotNull() != (host < 1500)) | (F.col("_block") != 1))
+        assert got.count() == 3000 and wrong.count() == 0
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, action string")

@@ -10,12 +10,16 @@ is then exact: it is listed if the first level that lacks it is an even one.
 Filters are literals of the query, so pages are judged in one pass without a join.
 
 The first filter's rate is the listed keys' share of the universe, so all levels
-together take a few bits a listed key times the logarithm of that share. Lists
-over ``MAX_LISTED`` keys are joined by key instead.
+together take a few bits a listed key times the logarithm of that share. Keys are
+dealt by a hash to shards of about ``SHARD`` listed keys, each with a cascade of its
+own, so that no filter grows with the list; with one shard, all is one pass over the
+pages, with more one pass each.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path and
 fit no rule; of rules with equal length the greater text wins; a key that is both
-blocked and allowed is blocked; an empty list allows all.
+blocked and allowed is blocked; an empty list allows all; rules with an empty or null
+host or a null path are left out. Repeated rows are judged alike, a url of any length is
+read whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MAX_LISTED = 2_000_000
+#: Listed keys of one cascade; the largest filter then takes about a megabyte.
+SHARD = 500_000
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,12 +73,17 @@ class Bloom:
         return F.pmod(F.xxhash64(key, F.lit(self.salt), F.lit(j)), F.lit(self.bits))
 
     def has(self, key: Column) -> Column:
-        literal = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for j in range(self.hashes):
-            at = self._at(key, j)
-            out &= F.getbit(F.get(literal, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
-        return out
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+
+        def all_set(bits: Column) -> Column:
+            out = F.lit(True)
+            for j in range(self.hashes):
+                at = self._at(key, j)
+                out &= F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+            return out
+
+        # The bits stand in the plan once, as the one element of an array, however many hashes there are.
+        return F.get(F.transform(F.array(words), all_set), F.lit(0))
 
 
 class Cascade:
@@ -97,7 +107,7 @@ class Cascade:
         return out
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, shard: int = SHARD) -> DataFrame:
     """Add host, path, rule and verdict to ``pages`` (which has a url).
 
     rules: host, path, action (``block`` or ``allow``). Columns of those four names
@@ -108,17 +118,30 @@ def filter_urls(pages: DataFrame, rules: DataFrame, max_listed: int = MAX_LISTED
     shapes, n = _shapes(listed), listed.count()
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     keys = candidates(F.col("host"), F.col("path"), shapes)
-    longest = lambda found: F.array_max(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"]
-    if n > max_listed:
-        with_row = named.withColumn("_row", F.monotonically_increasing_id())
-        hits = with_row.select("_row", F.explode(keys).alias("key")).join(listed.select("key", "action"), "key")
-        best = hits.groupBy("_row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("best"))
-        out = with_row.join(best, "_row", "left").withColumns({"rule": F.col("best.key"), "verdict": F.coalesce("best.action", F.lit("allow"))})
-        return out.drop("_row", "best")
     universe = cut(named.select(F.explode(keys).alias("key")).distinct())
-    n_universe = universe.count()
-    blocked, allowed = (Cascade(listed.where(F.col("action") == a).select("key"), universe, n_universe, 100 * i) for i, a in enumerate(("block", "allow")))
-    judged = named.withColumns({"_block": longest(F.filter(keys, blocked.has)), "_allow": longest(F.filter(keys, allowed.has))})
-    longer = F.struct(F.length("_block"), F.col("_block")) >= F.struct(F.length("_allow"), F.col("_allow"))
-    is_block = F.col("_block").isNotNull() & (F.col("_allow").isNull() | longer)
-    return judged.withColumns({"rule": F.when(is_block, F.col("_block")).otherwise(F.col("_allow")), "verdict": F.when(is_block, F.lit("block")).otherwise(F.lit("allow"))}).drop("_block", "_allow")
+    shards = max(1, -(-n // shard))
+    of_shard = lambda key, i: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)) == i if shards > 1 else F.lit(True)
+    within = lambda cascade, i: lambda key: of_shard(key, i) & cascade.has(key)
+    best = {action: f"_{action}" for action in ("block", "allow")}
+    while set(best.values()) & set(pages.columns):
+        best = {action: f"_{name}" for action, name in best.items()}
+    judged = named.withColumns({name: F.lit(None).cast("string") for name in best.values()})
+    for i in range(shards):
+        known = universe.where(of_shard(F.col("key"), i))
+        n_known = known.count()
+        better = {}
+        for j, (action, name) in enumerate(best.items()):
+            cascade = Cascade(listed.where((F.col("action") == action) & of_shard(F.col("key"), i)).select("key"), known, n_known, 100 * j)
+            found = F.filter(keys, within(cascade, i))
+            better[name] = _longest(F.array_append(found, F.col(name)))
+        # Each pass over several shards begins from the pages as the one before left them.
+        judged = judged.withColumns(better) if shards == 1 else cut(judged.withColumns(better), spent=judged if i else None)
+    block, allow = (F.col(name) for name in best.values())
+    longer = F.struct(F.length(block), block) >= F.struct(F.length(allow), allow)
+    is_block = block.isNotNull() & (allow.isNull() | longer)
+    return judged.withColumns({"rule": F.when(is_block, block).otherwise(allow), "verdict": F.when(is_block, F.lit("block")).otherwise(F.lit("allow"))}).drop(*best.values())
+
+
+def _longest(keys: Column) -> Column:
+    """The longest of an array's keys that are not null, of equal ones the greatest."""
+    return F.array_max(F.transform(F.array_compact(keys), lambda x: F.struct(F.length(x).alias("n"), x.alias("key"))))["key"]
