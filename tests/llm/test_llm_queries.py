@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 #: Names that the operators use inside or add.
 NAMES = """_id _hash _row _key _order _range _tie _n _salt _pick _learn _calibrate _source _shuffled _through _at root fp text_hash component_id fingerprint size source_size
-target taken score held_out lang_pred ambiguous spans items n_words stats x y host path rule verdict key n rank cell walk depth status copies position json content""".split()
+target taken score held_out lang_pred ambiguous spans items n_words stats x y host path rule verdict key n rank cell walk depth status copies position json content _block _allow _number _part _group _on bucket asks cells g ids held""".split()
 
 
 def normal(frame):

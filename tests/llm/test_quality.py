@@ -28,6 +28,31 @@ def test_held_out_and_defined_cases(spark):
         assert np.mean([a > b for a in good for b in bad]) > 0.98
 
 
+def test_against_normal_equations_in_one_piece(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeXY!") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 50))) for _ in range(240)]
+    y = {i: int(rng.random() < 0.3 + 0.5 * (texts[i].count("!") < 15)) for i in range(240)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(docs, labels, F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 4, ["doc_id"]).collect()}
+    stats = quality.statistics([t.encode() for t in texts])
+    ridge, held = [i for i in y if i % 5 in (1, 2, 3)], [i for i in y if i % 5 == 4]
+    kernel = quality.Kernel(stats[ridge].mean(axis=0), stats[ridge].std(axis=0))
+    x = kernel(stats)
+    weights = np.linalg.solve(x[ridge].T @ x[ridge] + quality.RIDGE * len(ridge) / 10 * np.eye(x.shape[1]), x[ridge].T @ np.array([y[i] for i in ridge]))
+    at = ((np.clip((x[held] @ weights + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1))).astype(int)
+    n, good = np.bincount(at, minlength=quality.BINS).astype(float), np.bincount(at, [y[i] for i in held], quality.BINS)
+    # Isotonic regression as the max over starts of the min over ends of means, then shrunk to the prior by one count a block.
+    full = np.flatnonzero(n)
+    rise = np.round([max(min(good[full[a : b + 1]].sum() / n[full[a : b + 1]].sum() for b in range(i, len(full))) for a in range(i + 1)) for i in range(len(full))], 12)
+    prior = (good.sum() + 0.5) / (n.sum() + 1)
+    blocks = [full[rise == v] for v in sorted(set(rise))]
+    knots = [(n[b] * b).sum() / n[b].sum() + 0.5 for b in blocks]
+    shares = [(good[b].sum() + prior) / (n[b].sum() + 1) for b in blocks]
+    want = np.interp(np.clip((x @ weights + 0.5) / 2 * quality.BINS, 0, quality.BINS), knots, shares)
+    assert np.allclose([got[i] for i in range(240)], want, atol=1e-6)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -11,7 +11,11 @@ scores into probabilities of a good document.
 Defined cases: null and empty texts have all-zero statistics and get a score;
 several labels of one document are averaged and null labels are left out; with no
 label to learn from, every score is 0.5; with one class it is that class's share
-under the calibration's prior. Repeated rows are scored alike.
+under the calibration's prior. Scores that tie stay tied: a raw score decides alone.
+Repeated rows are scored alike, rows with null or equal doc_ids each get a row (a null
+doc_id has no label), a text of any length is read whole, and an empty table gives no
+rows. Other columns are ignored, whatever their names; of the columns to keep none may
+be named stats or score.
 """
 
 from __future__ import annotations
