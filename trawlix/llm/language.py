@@ -37,7 +37,8 @@ from .common import LOWER, binary, chunks
 BUCKETS = 2048
 #: Labelled texts the classifiers are fitted on, over all languages.
 TRAIN_ROWS = 4000
-SALTS = 50
+#: Parts of a language that offer training texts, each the same number.
+SALTS = 250
 RIDGE = 0.02
 SHARPNESS = 4.0
 MARGIN = 0.05
@@ -69,13 +70,15 @@ def features(texts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(b"".join(cleaned[at:to]), np.uint8)
         sizes = np.array([len(c) for c in cleaned[at:to]])
         base = np.repeat(np.arange(to - at, dtype=np.int64) * BUCKETS, sizes)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))  # bytes from here to the text's end
+        ends = np.cumsum(sizes)
         counts = np.zeros((to - at) * BUCKETS, np.float32)
         code = np.zeros(len(raw), np.int64)
         for n in range(3):
             code[: len(raw) - n] += _CODES[n][raw[n:]]
-            inside = np.flatnonzero(left > n)
-            counts += np.bincount(base[inside] + ((code[inside] * 0x9E3779B1) >> 20) % BUCKETS, minlength=len(counts))
+            bucket = base + ((code * 0x9E3779B1) >> 20) % BUCKETS
+            counts += np.bincount(bucket, minlength=len(counts))
+            # A gram lies in one text: those that begin in the last n bytes of a text (each has two or more) run over its end.
+            counts -= np.bincount(bucket[(ends[:, None] - np.arange(1, n + 1)).ravel()], minlength=len(counts))
         out[at:to] = np.sqrt(counts.reshape(-1, BUCKETS))
         at = to
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
