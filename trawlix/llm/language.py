@@ -78,7 +78,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             bucket = base + ((code * 0x9E3779B1) >> 20) % BUCKETS
             counts += np.bincount(bucket, minlength=len(counts))
             # A gram lies in one text: those that begin in the last n bytes of a text (each has two or more) run over its end.
-            counts -= np.bincount(bucket[(ends[:, None] - np.arange(1, n + 1)).ravel()], minlength=len(counts))
+            np.subtract.at(counts, bucket[(ends[:, None] - np.arange(1, n + 1)).ravel()], 1)
         out[at:to] = np.sqrt(counts.reshape(-1, BUCKETS))
         at = to
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
