@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline as pipe
-from trawlix.llm import decontaminate, simhash
+from trawlix.llm import decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,8 +25,11 @@ def tables(spark, tmp_path_factory):
         labels.append((i, int(good), 0))
     for i, j in ((300, 5), (301, 5), (302, 9)):
         docs.append([i, docs[j][1], docs[j][2], "copy", docs[j][4]])
+    # A near copy: one word of many is changed.
+    docs.append([303, docs[11][1].rsplit(" ", 1)[0] + " other", docs[11][2], "copy", docs[11][4]])
     good_ids = [i for i, g, _ in labels if g]
     docs += [[310, docs[good_ids[0]][1] + " " + leak, "en", "a", 1], [311, None, "en", "a", 0], [312, "123 456", None, "a", 7]]
+    docs.append([320, text("en", 60) + " " + leak, "en", "a", 1])
     d = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([tuple(r) for r in docs], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -50,16 +53,21 @@ def test_each_stage_against_plain_decisions(spark, tables):
             gone = set(before) - after
             assert all(not good.get(i, 1) for i in gone) and len(gone) > 20
         elif name == "SimHash near-dedup":
-            fp = {i: int(simhash.fingerprints([r.text.encode()])[0]) for i, r in before.items()}
+            five = lambda t: {" ".join(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+            cut = {i: five(r.text) for i, r in before.items()}
             root = {i: i for i in before}
             for i in sorted(before):
                 for j in sorted(before):
-                    if i < j and (fp[i] ^ fp[j]).bit_count() <= 3:
+                    if i < j and len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]):
                         a, b = root[i], root[j]
                         root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
-            assert after == set(root.values()) and not after & {300, 301, 302}
+            assert after == set(root.values()) and not after & {300, 301, 302, 303}
         elif name == "benchmark decontamination":
-            assert set(before) - after == {310}
+            words = leak.lower().replace(".", "").split()
+            windows = [" ".join(words[i : i + 10]) for i in range(len(words) - 9)]
+            leaky = {i for i, r in before.items() if any(w in r.text.lower() for w in windows)}
+            # 310 may have gone before, as a near copy of the document it repeats.
+            assert set(before) - after == leaky and 320 in leaky <= {310, 320}
             assert not any(" ".join(map(bytes.decode, decontaminate.words_of(leak.encode())))[:60] in (r.text or "") for r in frame.collect())
         if name != pipe.STAGES[-1][0]:
             assert frame.columns == pipe.COLUMNS

@@ -52,10 +52,10 @@ FINGERPRINT_BYTES = 1 << 20
 _U = np.uint64
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """SimHash of each text's word shingles, as unsigned 64-bit numbers."""
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its word shingles' hashes (all texts' in a row), how many those are, and the hash of all its words."""
     hashes: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
+    sizes, whole = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
         words = text.translate(LOWER).split()
@@ -63,19 +63,26 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         if n == 0:
             continue
         line = b" ".join(words)
-        if n < SHINGLE:
-            hashes.append(digest(line, SEED))
+        whole[i] = digest(line, SEED)
+        if n < shingle:
+            hashes.append(int(whole[i]))
             sizes[i] = 1
             continue
         lengths = np.fromiter(map(len, words), np.int64, n)
         ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: n - SHINGLE + 1].tolist()
-        hashes += [digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
-        sizes[i] = n - SHINGLE + 1
+        starts = (ends - lengths)[: n - shingle + 1].tolist()
+        hashes += [digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        sizes[i] = n - shingle + 1
+    return np.array(hashes, dtype=np.uint64), sizes, whole
+
+
+def fingerprints(texts: list[bytes]) -> np.ndarray:
+    """SimHash of each text's word shingles, as unsigned 64-bit numbers."""
+    hashes, sizes, _ = shingle_hashes(texts, SHINGLE)
     out = np.zeros(len(texts), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         packed = np.packbits(2 * votes > sizes[full][:, None], axis=1)
@@ -216,7 +223,7 @@ def links(fps: DataFrame, direct: int = DIRECT) -> DataFrame:
     return near if finer.isEmpty() else near.unionByName(search(finer, None).select("u", "v"))
 
 
-def _met(rows: DataFrame, small: DataFrame, on: str, spread: str, counts: DataFrame, total: int) -> DataFrame:
+def met(rows: DataFrame, small: DataFrame, on: str, spread: str, counts: DataFrame, total: int) -> DataFrame:
     """Inner join of rows to a frame of one row a key; a key with very many rows is dealt to several tasks.
 
     counts: key and n of ``on``; at most HOT keys have more than total / HOT rows.
@@ -239,11 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: neighbours above a node move to its least neighbour.
         around = both(state)
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _met(around.where("v > u"), least.drop("n"), "u", "v", least, size).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = met(around.where("v > u"), least.drop("n"), "u", "v", least, size).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         large = cut(large)
         # Small star: a node and its lesser neighbours move to the least of them.
         least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        joined = _met(large, least.drop("n"), "v", "u", least, size)
+        joined = met(large, least.drop("n"), "v", "u", least, size)
         small = joined.select(F.col("m").alias("u"), F.col("u").alias("w")).where("u <> w").select("u", F.col("w").alias("v")).unionByName(least.select(F.col("m").alias("u"), "v"))
         state = cut(small.distinct(), spent=state)
         forget(large)
@@ -263,21 +270,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = cut(with_fingerprint(docs))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = cut(components(links(distinct.select("fp"))))
+    return grouped(rows, distinct, linked).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).select("doc_id", "fingerprint", "component_id", "text_hash", "root")
+
+
+def grouped(rows: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, fp) with their fingerprint's root and component_id.
+
+    distinct: fp, its least doc_id and its n rows; linked: node and root of those with links.
+    """
     rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     sizes = distinct.agg(F.count("*"), F.sum("n")).first()
-    by_fp = _met(rooted, smallest.drop("n"), "root", "fp", smallest, sizes[0]).select("fp", "root", "component_id")
-    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return _met(rows, by_fp, "fp", "doc_id", distinct, sizes[1] or 0).select("doc_id", text.alias("fingerprint"), "component_id", "text_hash", "root")
+    by_fp = met(rooted, smallest.drop("n"), "root", "fp", smallest, sizes[0]).select("fp", "root", "component_id")
+    return met(rows, by_fp, "fp", "doc_id", distinct, sizes[1] or 0).select("doc_id", "fp", "component_id", "text_hash", "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One document of each component stays, with all its columns: the one of the least doc_id.
 
+    found: the components, of ``near_duplicates`` unless given.
+
     Texts are shuffled once, by the join; only rows that stand in the table more than
     once are compared whole.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     kept = cut(first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.copies").alias("_copies")))
 
